@@ -8,6 +8,7 @@ margin to the next language is narrow.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,18 +22,25 @@ from .common import BROADCAST_BYTES, slices
 #: Content of a dictionary; the learner takes no more of a language than this.
 DICT_BYTES = 96 << 10
 #: A text is compressed in blocks, each against the fresh dictionary.
-BLOCK_BYTES = 8 << 10
+BLOCK_BYTES = 4 << 10
 #: Candidate texts per language from which a dictionary is filled.
 DICT_TEXTS = 400
 #: Largest part of a dictionary that one text may give.
-TEXT_SHARE = 2 << 10
-LEVEL = 3
+TEXT_SHARE = 1 << 10
+LEVEL = 9
+MIN_MATCH = 3
 MIN_MARGIN = 0.02
 UNDETERMINED = "und"
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def letters_of(text: str) -> bytes:
+    """Lower-cased runs of letters, one space between: marks and digits say little."""
+    return " ".join(_LETTERS.findall(text.lower())).encode("utf-8", "surrogatepass")
 
 
 def learn_dictionaries(train: DataFrame, lang: str = "lang", text: str = "text", dict_bytes: int = DICT_BYTES, texts: int = DICT_TEXTS) -> dict[str, bytes]:
-    """Dictionary content per language from a bounded sample of labelled rows.
+    """Dictionary content per language, most frequent language first.
 
     Counts per language cover all rows.  They set, per language, a hash threshold
     that lets about ``4 * texts`` rows through; of these the ``texts`` smallest by
@@ -45,13 +53,14 @@ def learn_dictionaries(train: DataFrame, lang: str = "lang", text: str = "text",
     share = counts.select("lang", F.least(F.lit(1.0), F.lit(4.0 * texts) / F.col("count")).alias("share"))
     order = F.xxhash64("text")
     drawn = rows.join(share, "lang").where((F.pmod(order, F.lit(1 << 20)) / F.lit(float(1 << 20))) < F.col("share"))
-    drawn = drawn.select("lang", F.substring(F.col("text").cast("binary"), 1, TEXT_SHARE).alias("data"), order.alias("h")).dropDuplicates(["lang", "h"])
+    drawn = drawn.select("lang", F.substring("text", 1, TEXT_SHARE).alias("data"), order.alias("h")).dropDuplicates(["lang", "h"])
     ranked = drawn.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= texts)
-    out: dict[str, bytearray] = {}
+    names = [r["lang"] for r in counts.orderBy(F.desc("count"), "lang").collect()]
+    out: dict[str, bytearray] = {n: bytearray() for n in names}
     for r in ranked.orderBy("lang", F.desc("r")).toLocalIterator():
-        held = out.setdefault(r["lang"], bytearray())
-        if len(held) + len(r["data"]) <= dict_bytes:
-            held += r["data"]
+        data = letters_of(r["data"])[:TEXT_SHARE] + b" "
+        if len(out[r["lang"]]) + len(data) <= dict_bytes:
+            out[r["lang"]] += data
     if len(out) * dict_bytes > BROADCAST_BYTES:
         raise ValueError(f"{len(out)} languages need more than {BROADCAST_BYTES} bytes of dictionaries; lower dict_bytes")
     return {k: bytes(v) for k, v in out.items()}
@@ -61,15 +70,16 @@ class CompressionClassifier:
     """Compressed size of a text under every language's dictionary."""
 
     def __init__(self, content: dict[str, bytes], level: int = LEVEL):
-        self.langs = sorted(content)
+        self.langs = list(content)
         self.coders = []
         for name in self.langs:
+            params = zstandard.ZstdCompressionParameters.from_level(level, source_size=BLOCK_BYTES, dict_size=len(content[name]), min_match=MIN_MATCH, write_content_size=False)
             data = zstandard.ZstdCompressionDict(content[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(level=level)
-            self.coders.append(zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False))
+            data.precompute_compress(compression_params=params)
+            self.coders.append(zstandard.ZstdCompressor(compression_params=params, dict_data=data))
 
     def sizes(self, text: str) -> list[int]:
-        data = text.lower().encode("utf-8", "surrogatepass")
+        data = letters_of(text)
         blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
         return [sum(len(c.compress(b)) for b in blocks) for c in self.coders]
 
@@ -93,7 +103,7 @@ def identify_languages(docs: DataFrame, content: dict[str, bytes], key: str = "d
     """Per row: key, lang_pred, score (0 to 1), margin, rejected (margin is narrow).
 
     ``und`` with score 0 for a null text, one without any letter, or no languages at
-    all.  Ties go to the first language in order of name.  Rows keep their
+    all.  Ties go to the language with more training rows.  Rows keep their
     multiplicity; null keys are kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(content)

@@ -31,6 +31,14 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .recurrent_lm import score_documents
+
+    held = crc_mod("doc_id", 7) == 2
+    out = score_documents(read_table(spark, sf_dir, "documents"), ~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import encode_documents
 
@@ -39,6 +47,15 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.coalesce(F.element_at("ends", -1), F.lit(0)).alias("n_source_bytes"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    docs = read_table(spark, sf_dir, "documents")
+    # documents are files of their source, a directory a language and a hundred numbers
+    path = F.concat_ws("/", "source", "lang", (F.col("doc_id") / 100).cast("long").cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return scan_licenses(docs.withColumn("path", path)).withColumn("cosine", F.round("cosine", 6))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .risk_rules import apply_rules
 
@@ -46,6 +63,20 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+def op7_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_repair import repair_conversations
+
+    out = repair_conversations(read_table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "turn", "role", "position", "new_role", "action", F.array_join("inserted", ",").alias("inserted"), F.array_join("closing", ",").alias("closing"), "cost", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    out = jaccard_components(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify_languages, learn_dictionaries
 
@@ -62,7 +93,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op4_sentencepiece, op6_quality_rules, op9_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_lm_scores, op4_sentencepiece, op5_license_scan, op6_quality_rules, op7_chat_repair, op8_jaccard_join, op9_language_id, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
