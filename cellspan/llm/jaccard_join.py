@@ -1,10 +1,11 @@
 """Exact Jaccard join of documents on word n-grams by T-occurrence search.
 
 A set of shingles is a sorted array of 64-bit numbers.  Equal sets are one class from
-the start.  Two classes that link share one of the first shingles of both sets in any
-common order (a set of n shingles leaves n - ceil(t n) + 1 of them to share), so the
-classes that share one form candidate groups, and no link leaves its group.  Rare
-shingles come first in the order, so that common passages bring nobody together.
+the start.  Of the first n - ceil(t n) + l shingles of both sets, in any common order,
+two classes that link share l or more.  So a class of whose first shingles fewer than
+that are found in other classes links to nothing; the others form candidate groups by
+sharing one, and no link leaves its group.  With l in proportion to n, passages that
+documents share bring nobody together; the most common shingles come last in the order.
 
 Inside a group, T-occurrence search finds the links: the inverted lists of a query's
 shingles are split as DivideSkip does, the short ones are merged, and what occurs often
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, slices
+from .common import drop_durable, durable, slices
 from .components import connected_components
 
 #: Bits of the table that says which classes are in a candidate group (2 MB).
@@ -37,6 +38,8 @@ SAMPLE_ONE_IN = 32
 BLOCK_CLASSES = 2000
 BLOCK_SHINGLES = 2_000_000
 PIVOTS = 4
+#: Long lists that are probed before hopeless candidates are dropped.
+PROBES = 128
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _words: dict[bytes, int] = {}
 _M = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
@@ -82,11 +85,16 @@ def need(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
+def extra(n: int, num: int, den: int) -> int:
+    """First shingles that a set shares with every larger set it links to."""
+    return 1 + (den - num) * n // (2 * den)
+
+
 def first_shingles(s: np.ndarray, common: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The shingles of which two linked sets share one: rare ones by number, then common."""
+    """The shingles of which linked sets share some: rare ones by number, then common."""
     if not len(s):
         return s
-    keep = len(s) - need(len(s), num, den) + 1
+    keep = len(s) - need(len(s), num, den) + extra(len(s), num, den)
     if len(common):
         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
         order = np.where(common[at] == s, rank[at] + 1, 0)
@@ -121,10 +129,13 @@ class OccurrenceIndex:
         self.keys, start = np.unique(flat[order], return_index=True)
         self.lists = owner[order]
         self.bounds = np.append(start, len(flat))
+        #: list number and owner in one sorted array: what binary probes search in
+        self.places = np.repeat(np.arange(len(self.keys)), np.diff(self.bounds)) * len(sets) + self.lists
         self.mu = mu
 
-    def search(self, query: np.ndarray, num: int, den: int) -> np.ndarray:
-        """Indices of all sets whose Jaccard similarity with the query is num/den or more."""
+    def search(self, query: np.ndarray, num: int, den: int, omit=None) -> np.ndarray:
+        """Indices of all sets whose Jaccard similarity with the query is num/den or more,
+        but for those that ``omit`` (an array of indices to flags) takes out."""
         n = len(query)
         if not n or not len(self.keys):
             return np.zeros(0, np.int64)
@@ -139,30 +150,29 @@ class OccurrenceIndex:
         # the long lists: as many as pay off, but fewer than the overlap that is asked for
         split = min(least - 1, int(least / (self.mu * math.log2(longest + 1) + 1)))
         short, long = at[: len(at) - split], at[len(at) - split :]
-        merged = np.sort(np.concatenate([self.lists[self.bounds[i] : self.bounds[i + 1]] for i in short]), kind="stable")
-        found, counts = np.unique(merged, return_counts=True)
+        begin, count = self.bounds[short], self.bounds[short + 1] - self.bounds[short]
+        spread = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        found, counts = np.unique(self.lists[spread], return_counts=True)
         size = self.sizes[found]
-        # 100 * overlap >= 85 * union, with union = n + size - overlap
+        # den * overlap >= num * union, with union = n + size - overlap
         asked = -(-num * (n + size) // (num + den))
         ok = (counts >= asked - len(long)) & (size * den >= num * n) & (n * den >= num * size)
+        if omit is not None:
+            ok &= ~omit(found)
         found, counts, asked = found[ok], counts[ok], asked[ok]
-        for done, i in enumerate(long):
+        for i in range(0, len(long), PROBES):
             if not len(found):
                 break
-            row = self.lists[self.bounds[i] : self.bounds[i + 1]]
-            pos = np.minimum(np.searchsorted(row, found), len(row) - 1)
-            counts = counts + (row[pos] == found)
-            ok = counts >= asked - (len(long) - done - 1)
-            if not ok.all():
-                found, counts, asked = found[ok], counts[ok], asked[ok]
+            # binary probes of all candidates in a run of long lists
+            part = long[i : i + PROBES]
+            probe = part[:, None] * len(self.sizes) + found[None, :]
+            at_probe = np.minimum(np.searchsorted(self.places, probe), len(self.places) - 1)
+            counts = counts + (self.places[at_probe] == probe).sum(axis=0)
+            ok = counts >= asked - (len(long) - i - len(part))
+            found, counts, asked = found[ok], counts[ok], asked[ok]
         return found[counts >= asked]
 
 
-def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return bool(len(a)) and den * both >= num * (len(a) + len(b) - both)
-
-
 def search_block(sets: list[np.ndarray], num: int, den: int, tied: UnionFind | None = None, queries: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that connect everything in the block that links connect (a forest).
 
@@ -176,7 +186,9 @@ def search_block(sets: list[np.ndarray], num: int, den: int, tied: UnionFind | N
     out = []
 
     def ask(i: int) -> None:
-        for j in index.search(sets[i], num, den).tolist():
+        own = tied.find(i)
+        known = lambda found: np.fromiter((tied.find(j) == own for j in found.tolist()), bool, len(found))
+        for j in index.search(sets[i], num, den, known).tolist():
             if i != j and tied.join(i, j):
                 out.append((i, j))
 
@@ -225,29 +237,95 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             )
 
     marked = durable(rows.mapInArrow(cut, f"key {kind}, n_shingles long, sig binary, first binary"), "shingles")
-    classes = marked.where("n_shingles > 0").groupBy("sig").agg(F.min("key").alias("least"), F.first("first").alias("first"))
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "first", 1 << 20):
-            first = [np.frombuffer(x, np.int64) for x in piece.column("first").to_pylist()]
-            if first:
-                sizes = np.array([len(f) for f in first])
-                yield pa.RecordBatch.from_arrays([piece.column("sig").take(pa.array(np.repeat(np.arange(len(first)), sizes))), pa.array(np.concatenate(first))], ["sig", "h"])
-
-    entries = classes.select("sig", "first").mapInArrow(spread, "sig binary, h long")
-    # everybody in a list is tied to its first class: one row an entry, never a pair of two members
-    leaders = entries.groupBy("h").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a <> z").select("h", "a")
-    stars = durable(entries.join(leaders, "h").where("sig <> a").select("a", F.col("sig").alias("b")).distinct(), "stars")
-    groups = durable(connected_components(stars, "groups").select(F.col("node").alias("sig"), F.col("comp").alias("grp")), "candidate-groups")
+    stars = _stars(marked, num, den)
+    groups = durable(connected_components(stars, "groups").withColumnsRenamed({"node": "cid", "comp": "grp"}), "candidate-groups")
     sets = _candidate_sets(rows, groups, k)
     links = _links(sets, num, den, block)
     found = connected_components(links, "links").select(F.col("node").alias("sig"), "comp")
-    named = classes.select("sig", "least").join(found, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    classes = marked.where("n_shingles > 0").groupBy("sig").agg(F.min("key").alias("least"))
+    named = classes.join(found, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     named = named.join(named.groupBy("comp").agg(F.min("least").alias("component")), "comp").select("sig", "component")
     out = marked.select("key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sig")).alias("sig")).join(named, "sig", "left")
     return out.select(F.col("key").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
 
 
+def _class_number(sig: bytes) -> int:
+    """Number of a class in candidate lists; two classes of one number share a group."""
+    return int.from_bytes(sig[:8], "little", signed=True)
+
+
+def _shared_entries(entries: DataFrame) -> DataFrame:
+    """h, cid, least, leader: entries of lists with two classes or more, each with the
+    list's first class.  Lists are streamed in order; a list is never held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # (h, cid, least, leader, whether others share the list)
+        for b in batches:
+            h, c, m = (b.column(x).to_numpy(zero_copy_only=False) for x in ("h", "cid", "least"))
+            keep = np.ones(len(h), bool)
+            keep[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+            if last and len(h) and (h[0], c[0]) == last[:2]:
+                keep[0] = False
+            h, c, m = h[keep], c[keep], m[keep]
+            if not len(h):
+                continue
+            if last:
+                h, c, m = np.append(last[0], h), np.append(last[1], c), np.append(last[2], m)
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            start = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+            leader = c[start]
+            shared = ~new
+            shared[:-1] |= ~new[1:]
+            if last and last[4]:
+                same = start == 0
+                leader[same], shared[same] = last[3], True
+            end = len(h) - 1
+            emit = shared.copy()
+            emit[end] = False
+            if emit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[emit]) for x in (h, c, m, leader)], ["h", "cid", "least", "leader"])
+            last = h[end], c[end], m[end], leader[end], bool(shared[end])
+        if last and last[4]:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in last[:4]], ["h", "cid", "least", "leader"])
+
+    return entries.repartition("h").sortWithinPartitions("h", "cid").mapInArrow(run, "h long, cid long, least int, leader long")
+
+
+def _stars(marked: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): classes tied to the first class of a list, where both may have links.
+
+    One row an entry at most, never the pairs of a list.  Classes without enough shared
+    entries are dropped, twice, as dropping some takes shared entries from others.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for piece in slices(batches, "first", 1 << 20):
+            first, cids, sizes, least = [], [], [], []
+            for sig, f, n in zip(piece.column("sig").to_pylist(), piece.column("first").to_pylist(), piece.column("n_shingles").to_pylist(), strict=True):
+                cid = _class_number(sig)
+                if cid in seen or not n:
+                    continue
+                if len(seen) < 200_000:
+                    seen.add(cid)
+                first.append(np.frombuffer(f, np.int64))
+                cids.append(cid)
+                sizes.append(len(f) // 8)
+                least.append(extra(need(n, num, den), num, den))
+            if first:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.repeat(np.array(cids, np.int64), sizes)), pa.array(np.repeat(np.array(least, np.int32), sizes))], ["h", "cid", "least"])
+
+    entries = marked.select("sig", "first", "n_shingles").mapInArrow(spread, "h long, cid long, least int")
+    shared = durable(_shared_entries(entries), "shared-entries")
+    for _ in range(2):
+        able = shared.groupBy("cid", "least").agg(F.count("*").alias("c")).where("c >= least").select("cid")
+        again = durable(_shared_entries(shared.join(able, "cid", "left_semi").select("h", "cid", "least")), "shared-entries")
+        drop_durable(shared)
+        shared = again
+    return shared.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
+
+
 def _common_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles seen twice or more in a hashed sample of texts, sorted, with their rank.
 
@@ -285,7 +363,7 @@ def _candidate_sets(rows: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     join then drops those that only share a bit.
     """
     spark = rows.sparkSession
-    slot = F.pmod(F.xxhash64("sig"), F.lit(BITS)) + 1
+    slot = F.pmod(F.xxhash64("cid"), F.lit(BITS)) + 1
     found = groups.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
     width = 4096
     table = bytearray(BITS // 8 + width)
@@ -297,9 +375,10 @@ def _candidate_sets(rows: DataFrame, groups: DataFrame, k: int) -> DataFrame:
         for piece in slices(batches):
             sets = [shingle_set(t, k) for t in piece.column("text").to_pylist()]
             sets = [s for s in sets if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "shingles"])
+            sigs = [signature(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array([_class_number(s) for s in sigs], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "cid", "shingles"])
 
-    cut = rows.select("text").mapInArrow(signed, "sig binary, shingles binary").withColumn("s", F.pmod(F.xxhash64("sig"), F.lit(BITS)))
+    cut = rows.select("text").mapInArrow(signed, "sig binary, cid long, shingles binary").withColumn("s", F.pmod(F.xxhash64("cid"), F.lit(BITS)))
 
     def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.frombuffer(bits.value, np.uint8)
@@ -314,10 +393,10 @@ def _candidate_sets(rows: DataFrame, groups: DataFrame, k: int) -> DataFrame:
                     if len(seen) < 200_000:
                         seen.add(sig)
             if keep:
-                yield b.take(pa.array(keep)).select(["sig", "shingles"])
+                yield b.take(pa.array(keep)).select(["sig", "cid", "shingles"])
 
-    some = cut.mapInArrow(hit, "sig binary, shingles binary")
-    return durable(some.join(groups, "sig").groupBy("sig", "grp").agg(F.first("shingles").alias("shingles")), "candidate-sets")
+    some = cut.mapInArrow(hit, "sig binary, cid long, shingles binary")
+    return durable(some.join(groups, "cid").groupBy("cid", "grp", "sig").agg(F.first("shingles").alias("shingles")), "candidate-sets")
 
 
 def _links(sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
