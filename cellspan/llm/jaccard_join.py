@@ -52,7 +52,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def _word_number(w: bytes) -> int:
-    if len(_words) > 400_000:
+    if len(_words) > 150_000:
         _words.clear()
     n = _words[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
     return n
@@ -229,7 +229,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = shared.value
-        for piece in slices(batches):
+        for piece in slices(batches, limit=1 << 20):
             sets = [shingle_set(t, k) for t in piece.column("text").to_pylist()]
             first = [first_shingles(s, common, rank, num, den) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -307,7 +307,7 @@ def _stars(marked: DataFrame, num: int, den: int) -> DataFrame:
                 cid = _class_number(sig)
                 if cid in seen or not n:
                     continue
-                if len(seen) < 200_000:
+                if len(seen) < 100_000:
                     seen.add(cid)
                 first.append(np.frombuffer(f, np.int64))
                 cids.append(cid)
@@ -363,7 +363,7 @@ def _candidate_sets(rows: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     join then drops those that only share a bit.
     """
     spark = rows.sparkSession
-    slot = F.pmod(F.xxhash64("cid"), F.lit(BITS)) + 1
+    slot = F.pmod("cid", F.lit(BITS)) + 1
     found = groups.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
     width = 4096
     table = bytearray(BITS // 8 + width)
@@ -371,31 +371,25 @@ def _candidate_sets(rows: DataFrame, groups: DataFrame, k: int) -> DataFrame:
         table[(r["b"] - 1) * width : r["b"] * width] = r["bits"]
     bits = spark.sparkContext.broadcast(bytes(table))
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches):
-            sets = [shingle_set(t, k) for t in piece.column("text").to_pylist()]
-            sets = [s for s in sets if len(s)]
-            sigs = [signature(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array([_class_number(s) for s in sigs], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sig", "cid", "shingles"])
-
-    cut = rows.select("text").mapInArrow(signed, "sig binary, cid long, shingles binary").withColumn("s", F.pmod(F.xxhash64("cid"), F.lit(BITS)))
-
-    def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.frombuffer(bits.value, np.uint8)
-        seen: set[bytes] = set()
-        for b in batches:
-            s = b.column("s").to_numpy(zero_copy_only=False)
-            ok = (have[s >> 3] >> (s & 7)) & 1
-            keep = []
-            for i, sig in enumerate(b.column("sig").to_pylist()):
-                if ok[i] and sig not in seen:
-                    keep.append(i)
-                    if len(seen) < 200_000:
-                        seen.add(sig)
-            if keep:
-                yield b.take(pa.array(keep)).select(["sig", "cid", "shingles"])
-
-    some = cut.mapInArrow(hit, "sig binary, cid long, shingles binary")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, seen = bits.value, set()
+        for piece in slices(batches, limit=1 << 20):
+            sigs, cids, sets = [], [], []
+            for t in piece.column("text").to_pylist():
+                found = shingle_set(t, k)
+                sig = signature(found)
+                cid = _class_number(sig)
+                at = cid % BITS
+                if len(found) and have[at >> 3] >> (at & 7) & 1 and cid not in seen:
+                    if len(seen) < 100_000:
+                        seen.add(cid)
+                    sigs.append(sig)
+                    cids.append(cid)
+                    sets.append(found.tobytes())
+            if sigs:
+                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], ["sig", "cid", "shingles"])
+
+    some = rows.select("text").mapInArrow(cut, "sig binary, cid long, shingles binary")
     return durable(some.join(groups, "cid").groupBy("cid", "grp", "sig").agg(F.first("shingles").alias("shingles")), "candidate-sets")
 
 
