@@ -1,0 +1 @@
+"""Versioned sparse cells on Spark: scans, filters, mutations and batch jobs."""
