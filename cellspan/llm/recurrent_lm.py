@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import durable, slices
 
 END = b"\n"
-HIDDEN = 20
+HIDDEN = 16
 SHORT_LIST = 2048
 SHORT_CLASSES = 32
 #: Words whose counts go to every task; all others get theirs by a join.
@@ -43,15 +43,14 @@ STREAMS = 48
 TALLY = 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Forms of words outside the short list: the open classes.  The last takes the rest.
-_FORMS = [
-    re.compile(p)
-    for p in (
-        rb"^[^a-z\x80-\xff]+$", rb"[0-9]", rb"[#*$%&|<>]+$", rb"!!$", rb"[\xc3][\xa4\xb6\xbc\x9f\x84\x96\x9c].*[,.]$", rb"[\xc3][\xa4\xb6\xbc\x9f\x84\x96\x9c]", rb"[\xc3][\xb3\xb1\xad\xa1\xba].*[,.]$", rb"[\xc3][\xb3\xb1\xad\xa1\xba]",
-        rb"[\xc3][\xa9\xa8\xaa\xa7\xa0\xae\xb4].*[,.]$", rb"[\xc3][\xa9\xa8\xaa\xa7\xa0\xae\xb4]", rb"[\x80-\xff]", rb"th.*[,.]$", rb"(eau|eux|oi|que|ent|aux|ion|ou).*[,.]$", rb"(sch|ung|heit|keit|lich|pf|tz).*[,.]$", rb"[,.]$",
-        rb"(sch|ung|heit|keit|lich|pf|tz)", rb"(eau|eux|oi|que|aux|vi|pa|ier)", rb"(sh|th|wh|ly|ing)", rb"(ado|oso|ci|rr|ll|ja)", rb"[ou]$", rb"^.{1,4}$",
-    )
-]
+_FORMS = (
+    rb"^[^a-z\x80-\xff]+$", rb"[0-9]", rb"[#*$%&|<>]+$", rb"!!$", rb"[\xc3][\xa4\xb6\xbc\x9f\x84\x96\x9c].*[,.]$", rb"[\xc3][\xa4\xb6\xbc\x9f\x84\x96\x9c]", rb"[\xc3][\xb3\xb1\xad\xa1\xba].*[,.]$", rb"[\xc3][\xb3\xb1\xad\xa1\xba]",
+    rb"[\xc3][\xa9\xa8\xaa\xa7\xa0\xae\xb4].*[,.]$", rb"[\xc3][\xa9\xa8\xaa\xa7\xa0\xae\xb4]", rb"[\x80-\xff]", rb"th.*[,.]$", rb"(?:eau|eux|oi|que|ent|aux|ion|ou).*[,.]$", rb"(?:sch|ung|heit|keit|lich|pf|tz).*[,.]$", rb"[,.]$",
+    rb"(?:sch|ung|heit|keit|lich|pf|tz)", rb"(?:eau|eux|oi|que|aux|vi|pa|ier)", rb"(?:sh|th|wh|ly|ing)", rb"(?:ado|oso|ci|rr|ll|ja)", rb"[ou]$", rb"^.{1,4}$",
+)
 OPEN_CLASSES = len(_FORMS) + 1
+#: One look at a word: the empty group that is set tells the first form that fits.
+_FORM = re.compile(rb"(?s)^(?:" + b"|".join(rb"(?=.*?(?:" + p + rb"))()" for p in _FORMS) + rb"|())")
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -62,10 +61,7 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 
 def form_of(word: bytes) -> int:
-    for i, form in enumerate(_FORMS):
-        if form.search(word):
-            return i
-    return len(_FORMS)
+    return _FORM.match(word).lastindex - 1
 
 
 def count_words(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -108,6 +104,7 @@ class Lexicon:
     biases: tuple[np.ndarray, np.ndarray]
     #: word -> (input, class, slot in class, count, log10 of the count part)
     cache: dict = field(default_factory=dict, repr=False)
+    codes: dict = field(default_factory=dict, repr=False)
 
     @classmethod
     def build(cls, top: list[tuple[bytes, int]], total: int, distinct: int, forms: dict[int, tuple[int, int]], short_list: int, classes: int) -> Lexicon:
@@ -153,8 +150,13 @@ class Lexicon:
             self.cache[word] = hit
         return hit
 
-    def base_parts(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10(counts + 1.0)
+    def code(self, word: bytes) -> int:
+        """Input row, class and slot + 1 of a word in one number."""
+        x, cls, slot, _ = self.look(word)
+        if len(self.codes) > 300_000:
+            self.codes.clear()
+        n = self.codes[word] = x << 32 | cls << 16 | slot + 1
+        return n
 
     @property
     def base_denominator(self) -> float:
@@ -179,6 +181,7 @@ class GatedNetwork:
         }
         self.p["x"][:, :hidden] += 1.0
         self.hidden = hidden
+        self.sizes = [max(1, n) for n in lexicon.sizes]
         self.g2 = {n: np.full_like(v, 1e-6) for n, v in self.p.items()}
 
     def forward(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray):
@@ -223,7 +226,8 @@ class GatedNetwork:
             if not len(pick):
                 continue
             s = states[pick]
-            lw = s @ p["w"][k] + p["wb"][k]
+            size = self.sizes[k]
+            lw = s @ p["w"][k][:, :size] + p["wb"][k][:size]
             lw -= lw.max(axis=1, keepdims=True)
             ew = np.exp(lw)
             tw = ew.sum(axis=1, keepdims=True)
@@ -232,8 +236,8 @@ class GatedNetwork:
             if grad:
                 dw = -ew / tw
                 dw[at, slot[pick]] += 1
-                g["w"][k], g["wb"][k] = s.T @ dw, dw.sum(axis=0)
-                ds[pick] += dw @ p["w"][k].T
+                g["w"][k][:, :size], g["wb"][k][:size] = s.T @ dw, dw.sum(axis=0)
+                ds[pick] += dw @ p["w"][k][:, :size].T
         return (out, ds, g) if grad else out
 
     def train_window(self, x, cls, slot, fresh, live, h, rate: float) -> tuple[np.ndarray, float]:
@@ -292,13 +296,13 @@ def pack(lexicon: Lexicon, texts: list[list[bytes]], count: int):
     steps = max((sum(len(texts[i]) for i in s) for s in dealt), default=0)
     x, cls, slot = (np.zeros((steps, len(dealt)), np.int32) for _ in range(3))
     fresh, owner = np.zeros((steps, len(dealt)), np.float32), np.full((steps, len(dealt)), -1, np.int32)
-    look = lexicon.look
+    get, code = lexicon.codes.get, lexicon.code
     for s, members in enumerate(dealt):
         at = 0
         for i in members:
             n = len(texts[i])
-            got = np.array([look(w)[:3] for w in texts[i]], np.int32)
-            x[at : at + n, s], cls[at : at + n, s], slot[at : at + n, s] = got[:, 0], got[:, 1], got[:, 2]
+            got = np.fromiter((get(w) or code(w) for w in texts[i]), np.int64, n)
+            x[at : at + n, s], cls[at : at + n, s], slot[at : at + n, s] = got >> 32, got >> 16 & 0xFFFF, (got & 0xFFFF) - 1
             fresh[at, s] = 1
             owner[at : at + n, s] = i
             at += n

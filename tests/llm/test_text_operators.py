@@ -259,7 +259,7 @@ def test_recurrent_gradients_and_proper_distribution():
     state = rng.standard_normal((1, 4)).astype(np.float32)
     total = 0.0
     for k, size in enumerate([*lex.sizes, *[0] * recurrent_lm.OPEN_CLASSES]):
-        slots = range(net.p["w"].shape[2]) if k < len(lex.sizes) else [-1]
+        slots = range(size) if k < len(lex.sizes) else [-1]
         total += sum(float(np.exp(net.log_probs(state, np.array([k]), np.array([s]))[0])) for s in slots)
     assert abs(total - 1) < 1e-4
     x, cls, slot, fresh, owner = packed
