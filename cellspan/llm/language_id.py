@@ -49,20 +49,22 @@ def learn_dictionaries(train: DataFrame, lang: str = "lang", text: str = "text",
     Rows with a null language or a null or empty text are not learnt from.
     """
     rows = train.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and length(text) > 0")
-    counts = rows.groupBy("lang").count()
-    share = counts.select("lang", F.least(F.lit(1.0), F.lit(4.0 * texts) / F.col("count")).alias("share"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(BROADCAST_BYTES // dict_bytes + 1).collect()}
+    if len(counts) * dict_bytes > BROADCAST_BYTES:
+        raise ValueError(f"more than {BROADCAST_BYTES // dict_bytes} languages need too much for their dictionaries; lower dict_bytes")
+    # the share of each language's rows stands in the filter: texts aren't moved for it
+    share = F.lit(0.0)
+    for name, n in counts.items():
+        share = F.when(F.col("lang") == name, F.lit(min(1.0, 4.0 * texts / n))).otherwise(share)
     order = F.xxhash64("text")
-    drawn = rows.join(share, "lang").where((F.pmod(order, F.lit(1 << 20)) / F.lit(float(1 << 20))) < F.col("share"))
+    drawn = rows.where((F.pmod(order, F.lit(1 << 20)) / F.lit(float(1 << 20))) < share)
     drawn = drawn.select("lang", F.substring("text", 1, TEXT_SHARE).alias("data"), order.alias("h")).dropDuplicates(["lang", "h"])
     ranked = drawn.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= texts)
-    names = [r["lang"] for r in counts.orderBy(F.desc("count"), "lang").collect()]
-    out: dict[str, bytearray] = {n: bytearray() for n in names}
+    out: dict[str, bytearray] = {n: bytearray() for n in counts}
     for r in ranked.orderBy("lang", F.desc("r")).toLocalIterator():
         data = letters_of(r["data"])[:TEXT_SHARE] + b" "
         if len(out[r["lang"]]) + len(data) <= dict_bytes:
             out[r["lang"]] += data
-    if len(out) * dict_bytes > BROADCAST_BYTES:
-        raise ValueError(f"{len(out)} languages need more than {BROADCAST_BYTES} bytes of dictionaries; lower dict_bytes")
     return {k: bytes(v) for k, v in out.items()}
 
 
