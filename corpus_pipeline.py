@@ -66,7 +66,7 @@ STAGES = [
     ("benchmark decontamination", decontamination),
     ("SentencePiece encoding and decoding", sentencepiece),
 ]
-#: The classifier, the search and the encoder are beyond SQL; the tests hold brute force against them.
+#: The classifier, the search and the encoder are beyond SQL; their operators are tested one by one.
 ORACLE_SQL = None
 
 
