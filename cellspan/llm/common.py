@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 #: Largest object that any operator ships to every task.
 BROADCAST_BYTES = 64 << 20
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -48,11 +49,17 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The lineage is cut by a table that outlives any executor, so a lost executor
-    costs the tasks it ran and not the stages before.
+    costs the tasks it ran and not the stages before.  Shuffle files of the write go
+    as it ends: nothing reads them once the table is there.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -236,11 +236,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 [piece.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), pa.array([f.tobytes() for f in first], pa.binary())], ["key", "n_shingles", "sig", "first"]
             )
 
-    marked = durable(rows.mapInArrow(cut, f"key {kind}, n_shingles long, sig binary, first binary"), "shingles")
-    stars = _stars(marked, num, den)
-    groups = durable(connected_components(stars, "groups").withColumnsRenamed({"node": "cid", "comp": "grp"}), "candidate-groups")
+    wide = durable(rows.mapInArrow(cut, f"key {kind}, n_shingles long, sig binary, first binary"), "shingles")
+    marked = durable(wide.drop("first"), "signatures")
+    shared_lists = _shared_lists(wide, num, den)
+    drop_durable(wide)
+    groups = durable(connected_components(_stars(shared_lists), "groups").withColumnsRenamed({"node": "cid", "comp": "grp"}), "candidate-groups")
+    drop_durable(shared_lists)
     sets = _candidate_sets(rows, groups, k)
     links = _links(sets, num, den, block)
+    drop_durable(sets)
     found = connected_components(links, "links").select(F.col("node").alias("sig"), "comp")
     classes = marked.where("n_shingles > 0").groupBy("sig").agg(F.min("key").alias("least"))
     named = classes.join(found, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
@@ -292,11 +296,16 @@ def _shared_entries(entries: DataFrame) -> DataFrame:
     return entries.repartition("h").sortWithinPartitions("h", "cid").mapInArrow(run, "h long, cid long, least int, leader long")
 
 
-def _stars(marked: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): classes tied to the first class of a list, where both may have links.
+def _stars(shared: DataFrame) -> DataFrame:
+    """(a, b): classes tied to the first class of a list, never the pairs of a list."""
+    return shared.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
+
 
-    One row an entry at most, never the pairs of a list.  Classes without enough shared
-    entries are dropped, twice, as dropping some takes shared entries from others.
+def _shared_lists(marked: DataFrame, num: int, den: int) -> DataFrame:
+    """Entries of the lists of two classes or more, where both may have links.
+
+    Classes without enough shared entries are dropped, twice, as dropping some takes
+    shared entries from others.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +332,7 @@ def _stars(marked: DataFrame, num: int, den: int) -> DataFrame:
         again = durable(_shared_entries(shared.join(able, "cid", "left_semi").select("h", "cid", "least")), "shared-entries")
         drop_durable(shared)
         shared = again
-    return shared.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
+    return shared
 
 
 def _common_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -416,7 +425,7 @@ def _links(sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
                 elif q:
                     own[position[s]] = True
             names = list(position)
-            queries = [i for i, q in enumerate(own) if q] if any(own) else None
+            queries = None if task["other"] < 0 else [i for i, q in enumerate(own) if q]
             links = search_block(uniq, num, den, queries=queries)
             return pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in links], pa.binary()), pa.array([names[j] for _, j in links], pa.binary())], ["a", "b"])
 
@@ -452,8 +461,11 @@ def _links(sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
     outside = asking.groupBy("grp").agg(F.count("*").alias("out"))
     shards = F.ceil(F.col("out") / F.lit(float(block))).cast("int")
     asking = asking.join(outside, "grp").withColumn("shard", F.pmod(F.xxhash64("sig", F.lit(1)), shards).cast("int"))
-    visits = asking.select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to"), "shard", "sig", "shingles")
+    visits = asking.select("grp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to"), "shard", "sig", "shingles")
+    visits = visits.where("to <> part").drop("part")
     homes = marked.join(outside, "grp").select("grp", F.col("part").alias("to"), F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard"), "sig", "shingles")
     across = visits.withColumn("query", F.lit(True)).unionByName(homes.withColumn("query", F.lit(False)))
     across = across.select(F.struct("grp", F.col("to").alias("part"), F.col("shard").alias("other")).alias("task"), "sig", "shingles", "query")
-    return links.unionByName(durable(run(across), "links-across"))
+    across = durable(run(across), "links-across")
+    drop_durable(tagged)
+    return links.unionByName(across)
