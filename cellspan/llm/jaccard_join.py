@@ -12,7 +12,7 @@ shingles are split as DivideSkip does, the short ones are merged, and what occur
 enough is probed for in the long ones by binary search.  Only components matter, so
 pairs that are already connected are not searched for, and groups too large for a task
 are cut into blocks: first each block with itself, then the classes outside the
-group's largest component against every block.
+group's largest component against the blocks that share enough of their lists.
 """
 
 from __future__ import annotations
@@ -241,10 +241,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     shared_lists = _shared_lists(wide, num, den)
     drop_durable(wide)
     groups = durable(connected_components(_stars(shared_lists), "groups").withColumnsRenamed({"node": "cid", "comp": "grp"}), "candidate-groups")
-    drop_durable(shared_lists)
     sets = _candidate_sets(rows, groups, k)
-    links = _links(sets, num, den, block)
+    links = _links(sets, shared_lists, num, den, block)
     drop_durable(sets)
+    drop_durable(shared_lists)
     found = connected_components(links, "links").select(F.col("node").alias("sig"), "comp")
     classes = marked.where("n_shingles > 0").groupBy("sig").agg(F.min("key").alias("least"))
     named = classes.join(found, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
@@ -402,7 +402,7 @@ def _candidate_sets(rows: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     return durable(some.join(groups, "cid").groupBy("cid", "grp", "sig").agg(F.first("shingles").alias("shingles")), "candidate-sets")
 
 
-def _links(sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
+def _links(sets: DataFrame, entries: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """(a, b): links between classes that connect all that links connect."""
     sized = sets.select("sig", "grp", (F.octet_length("shingles") / 8).cast("long").alias("n"))
     groups = sized.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("mass"))
@@ -451,21 +451,26 @@ def _links(sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
     if not big.take(1):
         return links
     comp = connected_components(links, "links-first")
-    tagged = big.join(comp, big["sig"] == comp["node"], "left").select("grp", "parts", "part", "sig", "shingles", F.coalesce("comp", "sig").alias("comp"))
+    tagged = big.join(comp, big["sig"] == comp["node"], "left").select("cid", "grp", "part", "sig", "shingles", F.coalesce("comp", "sig").alias("comp"))
     tagged = durable(tagged, "blocks")
     weight = tagged.groupBy("grp", "comp").agg(F.count("*").alias("w"))
     main = weight.groupBy("grp").agg(F.max_by("comp", F.struct("w", "comp")).alias("main"))
-    marked = tagged.join(main, "grp")
-    # classes outside the largest component ask every other block; each visits it in shards
-    asking = marked.where("comp <> main")
-    outside = asking.groupBy("grp").agg(F.count("*").alias("out"))
-    shards = F.ceil(F.col("out") / F.lit(float(block))).cast("int")
-    asking = asking.join(outside, "grp").withColumn("shard", F.pmod(F.xxhash64("sig", F.lit(1)), shards).cast("int"))
-    visits = asking.select("grp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to"), "shard", "sig", "shingles")
-    visits = visits.where("to <> part").drop("part")
-    homes = marked.join(outside, "grp").select("grp", F.col("part").alias("to"), F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard"), "sig", "shingles")
+    # classes outside the largest component ask the other blocks of which the lists meet
+    # as many of their entries as a link needs; a block takes its visitors in shards
+    place = tagged.select("cid", "grp", "part", "comp")
+    asking = place.join(main, "grp").where("comp <> main").select("cid", "grp", "part")
+    lists = entries.join(place, "cid").select("h", "grp", F.col("part").alias("to")).distinct()
+    asks = entries.join(asking, "cid").select("h", "grp", "cid", "part", "least")
+    met = asks.join(lists, ["h", "grp"]).where("to <> part").groupBy("grp", "to", "cid", "least").agg(F.count("*").alias("c"))
+    met = durable(met.where("c >= least").select("grp", "to", "cid"), "visits")
+    visited = met.groupBy("grp", "to").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("shards"))
+    visits = met.join(visited, ["grp", "to"]).withColumn("shard", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("shards")).cast("int"))
+    visits = visits.select("grp", "to", "shard", "cid").join(tagged.select("cid", "sig", "shingles"), "cid").drop("cid")
+    homes = tagged.select("grp", F.col("part").alias("to"), "sig", "shingles").join(visited, ["grp", "to"])
+    homes = homes.select("grp", "to", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "sig", "shingles")
     across = visits.withColumn("query", F.lit(True)).unionByName(homes.withColumn("query", F.lit(False)))
     across = across.select(F.struct("grp", F.col("to").alias("part"), F.col("shard").alias("other")).alias("task"), "sig", "shingles", "query")
     across = durable(run(across), "links-across")
     drop_durable(tagged)
+    drop_durable(met)
     return links.unionByName(across)
