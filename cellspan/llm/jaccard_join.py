@@ -402,13 +402,28 @@ def _candidate_sets(rows: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     return durable(some.join(groups, "cid").groupBy("cid", "grp", "sig").agg(F.first("shingles").alias("shingles")), "candidate-sets")
 
 
+def _kin(sized: DataFrame, entries: DataFrame, block: int) -> DataFrame:
+    """(cid, kin): classes of one kin go into one block, so that few must visit others.
+
+    The kin of a class is the leader of most of its lists.  Kin above an eighth of a
+    block have no row: their classes are dealt one by one.
+    """
+    shares = entries.join(sized, "cid").groupBy("cid", "n", "leader").agg(F.count("*").alias("c"))
+    near = durable(shares.groupBy("cid", "n").agg(F.max_by("leader", F.struct("c", "leader")).alias("kin")), "kin")
+    large = (F.count("*") > F.lit(block / 8)) | (F.sum("n") > F.lit(BLOCK_SHINGLES / 8))
+    heavy = durable(near.groupBy("kin").agg(large.alias("large")).where("large").select("kin"), "heavy-kin")
+    return near.join(heavy, "kin", "left_anti").select("cid", "kin")
+
+
 def _links(sets: DataFrame, entries: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """(a, b): links between classes that connect all that links connect."""
-    sized = sets.select("sig", "grp", (F.octet_length("shingles") / 8).cast("long").alias("n"))
+    sized = sets.select("cid", "grp", (F.octet_length("shingles") / 8).cast("long").alias("n"))
     groups = sized.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("mass"))
     parts = F.ceil(F.greatest(F.col("members") / F.lit(float(block)), F.col("mass") / F.lit(float(BLOCK_SHINGLES)))).cast("int")
     groups = durable(groups.select("grp", parts.alias("parts")), "group-sizes")
-    placed = sets.join(groups, "grp").withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
+    kin = _kin(sized.join(groups.where("parts > 1"), "grp", "left_semi"), entries, block)
+    placed = sets.join(groups, "grp").join(kin, "cid", "left")
+    placed = placed.withColumn("part", F.pmod(F.xxhash64(F.coalesce("kin", "cid")), F.col("parts")).cast("int")).drop("kin")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by task; a task's sets are searched when the next begins."""
