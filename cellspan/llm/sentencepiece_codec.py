@@ -13,6 +13,7 @@ pieces do cross such boundaries is encoded whole.
 
 from __future__ import annotations
 
+import bisect
 import gc
 import heapq
 import re
@@ -32,6 +33,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Segments whose encoding a worker keeps.
 CACHE_ENTRIES = 150_000
 _NEVER = 1 << 60
+#: Longest segment merged in bulk, and how many segments one bulk holds.
+BULK_LENGTH, BULK_SEGMENTS = 32, 16_384
+_NO_PAIR = 1 << 30
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -92,6 +96,109 @@ class CharsMap:
         return unit >> 10 << ((unit & 512) >> 6)
 
 
+class PairTable:
+    """Pairs of symbols that merge, as an open hash table that numpy can probe.
+
+    Symbols are the pieces and the characters of pieces, numbered; the last number
+    stands for every other character, which merges with nothing.
+    """
+
+    def __init__(self, ids: dict[str, int], rank: dict[str, int]):
+        symbols = sorted({*ids, *(c for p in ids for c in p)})
+        number = {s: i for i, s in enumerate(symbols)}
+        self.other = len(symbols)
+        self.id_of = np.array([ids.get(s, -1) for s in symbols] + [-1], np.int32)
+        self.size_of = np.array([len(s.encode()) for s in symbols] + [0], np.int32)
+        self.rank_of = np.array([rank.get(s, 0) for s in symbols] + [0], np.int32)
+        self.char = np.full(0x110000, self.other, np.int32)
+        for s, i in number.items():
+            if len(s) == 1:
+                self.char[ord(s)] = i
+        pairs = {}
+        for p in ids:
+            for k in range(1, len(p)):
+                a, b = number.get(p[:k]), number.get(p[k:])
+                if a is not None and b is not None:
+                    pairs[a << 20 | b] = number[p]
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        keys, values = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int32)
+        slots = self._slot(keys) if len(keys) else keys
+        while len(keys):
+            # of the keys at one free slot the last written stays, the others move on
+            free = self.keys[slots] < 0
+            self.keys[slots[free]] = keys[free]
+            placed = self.keys[slots] == keys
+            self.values[slots[placed]] = values[placed]
+            keys, values, slots = keys[~placed], values[~placed], (slots[~placed] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The symbol that each pair merges to, or -1."""
+        keys = a.astype(np.int64) << 20 | b
+        slots = self._slot(keys)
+        there = self.keys[slots]
+        out = np.where(there == keys, self.values[slots], -1)
+        todo = np.flatnonzero((there != keys) & (there >= 0))
+        while len(todo):
+            slots[todo] = (slots[todo] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slots[todo]]
+            same = there == keys[todo]
+            out[todo[same]] = self.values[slots[todo[same]]]
+            todo = todo[~same & (there >= 0)]
+        return out
+
+    def merge_all(self, segments: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, alive), each [position, segment], after all merges.
+
+        Every step merges in each segment the pair of the lowest rank, the leftmost
+        among equals, as one segment after the other would be merged.
+        """
+        n = len(segments)
+        points = np.frombuffer("".join([s.ljust(width, "\0") for s in segments]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sym = np.ascontiguousarray(self.char[points].reshape(n, width).T)
+        alive = np.arange(width)[:, None] < np.array([len(s) for s in segments])[None, :]
+        sym[~alive] = self.other
+        # one more position at the end, which nothing merges with, closes every chain
+        sym = np.concatenate([sym, np.full((1, n), self.other, np.int32)]).reshape(-1)
+        alive = np.concatenate([alive, np.zeros((1, n), bool)]).reshape(-1)
+        after = np.repeat(np.minimum(np.arange(1, width + 2, dtype=np.int32), width), n)
+        before = np.repeat(np.arange(-1, width, dtype=np.int32), n)
+        into = np.full((width + 1) * n, -1, np.int32)
+        into[: width * n] = self.merged(sym[: width * n], sym[n:])
+        order = np.full((width + 1) * n, _NO_PAIR, np.int32)
+        some = np.flatnonzero(into >= 0)
+        order[some] = self.rank_of[into[some]] * 64 + some // n
+
+        def renew(at: np.ndarray, pos: np.ndarray, right: np.ndarray) -> None:
+            found = self.merged(sym[at], sym[right])
+            into[at] = found
+            order[at] = np.where(found >= 0, self.rank_of[found] * 64 + pos, _NO_PAIR)
+
+        while True:
+            best = order.reshape(width + 1, n).min(axis=0)
+            col = np.flatnonzero(best < _NO_PAIR)
+            if not len(col):
+                return sym.reshape(width + 1, n), alive.reshape(width + 1, n)
+            pos = best[col] & 63
+            at = pos * n + col
+            gone = after[at] * n + col
+            sym[at] = into[at]
+            alive[gone] = False
+            order[gone] = _NO_PAIR
+            follow = after[gone]
+            after[at] = follow
+            right = follow * n + col
+            before[right] = pos
+            renew(at, pos, right)
+            has = before[at] >= 0
+            left = before[at][has]
+            renew(left * n + col[has], left, at[has])
+
+
 class PieceModel:
     """A parsed BPE model: pieces, scores, normalisation and the two codecs."""
 
@@ -125,7 +232,7 @@ class PieceModel:
         # a lower rank merges earlier; equal scores rank equal
         order = {s: r for r, s in enumerate(sorted({scores[i] for i in self.ids.values()}, reverse=True))}
         self.rank = {p: order[scores[i]] for p, i in self.ids.items()}
-        self.reserved = {p: i for i, p in enumerate(self.pieces) if i not in set(self.ids.values())}
+        self.reserved = {p: i for i, p in enumerate(self.pieces) if self.types[i] not in (NORMAL, USER_DEFINED)}
         self.bytes_of = {i: int(p[3:5], 16) for i, p in enumerate(self.pieces) if self.types[i] == BYTE}
         self.byte_id = {b: i for i, b in self.bytes_of.items()}
         user = sorted((p for p, i in self.ids.items() if self.types[i] == USER_DEFINED), key=len, reverse=True)
@@ -136,6 +243,7 @@ class PieceModel:
         self.cut = None if crossing or user else re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + "|\n" * bool(alone))
         self.cache: dict[str, tuple[bytes, bytes, str]] = {}
         self.old = self.cache
+        self.pairs = PairTable(self.ids, self.rank) if self.cut else None
 
     # -- normalisation ---------------------------------------------------------
     def normalize(self, text: str) -> tuple[str, np.ndarray | None]:
@@ -264,16 +372,63 @@ class PieceModel:
         """A segment that isn't in the young table: from the old one, or encoded now."""
         hit = self.old.get(seg) or self.segment(seg)
         if len(seg) < 200:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.old, self.cache = self.cache, {}
-            self.cache[seg] = hit
+            self._keep({seg: hit})
         return hit
 
+    def _keep(self, found: dict[str, tuple[bytes, bytes, str]]) -> None:
+        if len(self.cache) >= CACHE_ENTRIES:
+            self.old, self.cache = self.cache, {}
+        self.cache.update(found)
+
+    def learn(self, segments: set[str]) -> None:
+        """Encode the short segments that no table has, many at a time."""
+        new = segments.difference(self.cache)
+        known = new.intersection(self.old)
+        old = self.old
+        self._keep({seg: old[seg] for seg in known})
+        todo = sorted((seg for seg in new.difference(known) if len(seg) <= BULK_LENGTH), key=len)
+        for a in range(0, len(todo), BULK_SEGMENTS):
+            part = todo[a : a + BULK_SEGMENTS]
+            start = 0
+            while start < len(part):
+                # neighbours of about equal length share one matrix
+                width = min(BULK_LENGTH, -(-len(part[start]) // 4) * 4)
+                end = bisect.bisect_right(part, width, start, key=len)
+                self._keep(self._bulk(part[start:end], width))
+                start = end
+
+    def _bulk(self, segments: list[str], width: int) -> dict[str, tuple[bytes, bytes, str]]:
+        table = self.pairs
+        sym, alive = table.merge_all(segments, width)
+        on = alive.T
+        left = sym.T[on]
+        ids = table.id_of[left]
+        ends = np.cumsum(on.sum(axis=1))
+        odd = set(np.searchsorted(ends, np.flatnonzero(ids < 0), side="right").tolist())
+        raw, sizes, at, out = ids.tobytes(), table.size_of[left].tobytes(), 0, {}
+        for i, (seg, end) in enumerate(zip(segments, (ends * 4).tolist(), strict=True)):
+            # characters without a piece of their own take the plain path
+            out[seg] = self.segment(seg) if i in odd else (raw[at:end], sizes[at:end], seg.replace(SPACE, " "))
+            at = end
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, str]]:
+        """:meth:`encode` of every text; segments new to the tables are merged together."""
+        if not self.cut:
+            return [self.encode(t) for t in texts]
+        normal = [self.normalize(t or "") for t in texts]
+        parts = [self.cut.findall(norm) for norm, _ in normal]
+        self.learn(set().union(*parts))
+        return [self._assemble(t, *n, p) for t, n, p in zip(texts, normal, parts, strict=True)]
+
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
         """(ids, begins, ends, decoded text); begins and ends are source bytes."""
         norm, align = self.normalize(text or "")
+        return self._assemble(text, norm, align, self.cut.findall(norm) if self.cut else [norm] if norm else [])
+
+    def _assemble(self, text: str | None, norm: str, align: np.ndarray | None, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
         get, make = self.cache.get, self._found
-        found = [get(seg) or make(seg) for seg in (self.cut.findall(norm) if self.cut else [norm] if norm else [])]
+        found = [get(seg) or make(seg) for seg in segments]
         ids = np.frombuffer(b"".join([h[0] for h in found]), np.int32)
         ends = np.cumsum(np.frombuffer(b"".join([h[1] for h in found]), np.int32), dtype=np.int64)
         begins = np.concatenate([np.zeros(1, np.int64), ends[:-1]]) if len(ends) else ends
@@ -356,7 +511,7 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
         model = load_model(model_path)
         gc.disable()  # the tables hold no cycles, and walking them costs more than the work
         for piece in slices(batches, limit=1 << 20):
-            done = [model.encode(t) for t in piece.column("text").to_pylist()]
+            done = model.encode_all(piece.column("text").to_pylist())
             columns = [int_lists([d[i] for d in done]) for i in range(3)]
             yield pa.RecordBatch.from_arrays([piece.column("key"), *columns, pa.array([d[3] for d in done], pa.string())], ["key", "ids", "begins", "ends", "decoded"])
 
