@@ -2,14 +2,17 @@
 
 Every line of a text is a candidate header, and the text as a whole a candidate licence
 file.  Term weights are tf * idf with document frequencies over all files; a line can
-only reach the threshold if its unknown terms weigh little, and only such lines go
-on to the sparse product with the templates, a join on terms.  A file without a licence
-of its own takes that of the nearest directory above it that has a licence file.
+only reach the threshold if it holds one of a template's heaviest terms and its unknown
+terms weigh little, and only such lines go on to the sparse product with the templates,
+a join on terms.  A file without a licence of its own takes that of the nearest directory above it that has a licence file.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +43,11 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _parents(path: Column) -> Column:
     """Directories above a path, the nearest first, the root (empty) last; ``MAX_DEPTH`` at most."""
     parts = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, MAX_DEPTH)
@@ -47,6 +55,24 @@ def _parents(path: Column) -> Column:
     return F.when(depth < 0, F.array(F.lit(""))).otherwise(F.transform(F.sequence(depth, F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "/")))
 
 
+def leading_terms(templates: list[tuple[str, str]], weight: dict[str, float], cosine: float) -> list[str]:
+    """Terms of which every line within ``cosine`` of a template holds at least one.
+
+    Of each template its heaviest terms, until a line without them has, by the
+    Cauchy-Schwarz inequality, a lower cosine than asked.
+    """
+    out: set[str] = set()
+    for _, text in templates:
+        squares = {w: (n * weight[w]) ** 2 for w, n in Counter(_split(text)).items()}
+        rest = total = sum(squares.values())
+        for w in sorted(squares, key=lambda w: (-squares[w], w)):
+            if rest < (cosine * cosine - 1e-6) * total:
+                break
+            out.add(w)
+            rest -= squares[w]
+    return sorted(out)
+
+
 def template_vectors(spark: SparkSession, templates: list[tuple[str, str]], idf: DataFrame) -> DataFrame:
     """license, template, term, weight divided by the template's norm."""
     rows = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(templates)], "template int, license string, text string")
@@ -80,19 +106,24 @@ def scan_licenses(files: DataFrame, key: str = "doc_id", path: str = "path", tex
     unknown = math.log(total + 1) + 1
     idf = spark.createDataFrame(list(weight.items()), "term string, idf double")
     weights = F.create_map(*(F.lit(x) for kv in weight.items() for x in kv))
-    # lines that can reach the threshold: unknown terms add to the norm only
-    lines = rows.select(F.monotonically_increasing_id().alias("row"), "key", "path", "text")
-    lines = lines.select("row", "key", "path", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("n_words"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    lines = lines.select("row", "key", "path", "n_words", "line", "body", F.size(F.array_intersect(F.split(F.lower("body"), "[^a-z0-9]+"), words)).alias("inside"))
-    marked = lines.where((F.col("inside") > 0) | (F.col("line") == 0)).withColumn("terms", _terms(F.col("body")))
-    inside = F.filter("terms", lambda w: F.array_contains(words, w))
-    light = F.aggregate(F.array_distinct(inside), F.lit(0.0), lambda acc, w: acc + F.element_at(weights, w) * F.element_at(weights, w) * F.pow(F.size(F.filter(inside, lambda x: x == w)), F.lit(2)))
-    outside = F.size("terms") - F.size(inside)
+    # Only lines with a leading term of some template can reach the threshold, and of those
+    # only lines whose unknown terms, which add to the norm alone, weigh little.
+    leading = leading_terms(templates, weight, cosine)
+    has = lambda t: F.lower(t).rlike("(?:^|[^a-z0-9])(?:" + "|".join(leading) + ")(?:$|[^a-z0-9])")
+    lines = rows.select(F.monotonically_increasing_id().alias("row"), "key", "path", has("text").alias("some"), "text")
+    n_words = F.when(F.col("some"), F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))).otherwise(0)
+    bodies = F.when(F.col("some"), F.split("text", "\n")).otherwise(F.array(F.lit("")))
+    lines = lines.select("row", "key", "path", n_words.alias("n_words"), F.posexplode(bodies).alias("line", "body"))
+    terms = _terms(F.col("body"))
+    squared = lambda w: F.element_at(weights, w) * F.element_at(weights, w)
+    inner = lambda inside: F.aggregate(F.array_distinct(inside), F.lit(0.0), lambda acc, w: acc + squared(w) * F.pow(F.size(F.filter(inside, lambda x: x == w)), F.lit(2)))
     # the least that the unknown terms can weigh: all different
-    heavy = outside * F.lit(unknown * unknown)
-    marked = marked.withColumns({"inner": F.when(F.col("inside") > 0, light).otherwise(0.0), "outer": heavy, "n_terms": F.size("terms")})
-    marked = marked.withColumn("able", (F.col("inner") > 0) & (F.col("inner") >= F.lit(cosine * cosine) * (F.col("inner") + F.col("outer"))))
-    kept = durable(marked.where("able or line = 0").select("row", "key", "path", "n_words", "line", "able", "terms", "n_terms"), "licence-lines")
+    outer = lambda every, inside: (F.size(every) - F.size(inside)) * F.lit(unknown * unknown)
+    near = lambda known, other: (known > 0) & (known >= F.lit(cosine * cosine) * (known + other))
+    able = _bound(terms, lambda every: _bound(F.filter(every, lambda w: F.array_contains(words, w)), lambda inside: _bound(inner(inside), lambda known: near(known, outer(every, inside)))))
+    marked = lines.withColumn("able", F.when(has("body"), able).otherwise(False)).where("line = 0 or able")
+    marked = marked.withColumn("terms", F.when(F.col("able"), terms))
+    kept = durable(marked.select("row", "key", "path", "n_words", "line", "able", "terms", F.size("terms").alias("n_terms")), "licence-lines")
     norm = kept.where("able").select("row", "line", "n_terms", F.explode("terms").alias("term")).groupBy("row", "line", "n_terms", "term").agg(F.count("*").alias("tf"))
     norm = norm.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
     vectors = template_vectors(spark, templates, idf)
@@ -120,6 +151,4 @@ def scan_licenses(files: DataFrame, key: str = "doc_id", path: str = "path", tex
 
 
 def _split(text: str) -> list[str]:
-    import re
-
     return [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
