@@ -44,6 +44,19 @@ def test_sentencepiece_matches_library(spark):
     assert got[None]["ids"] == sp.encode("null key")
 
 
+def test_bulk_merges_equal_single_merges():
+    import sentencepiece
+
+    path = queries.tokenizer_path()
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=path), spc.PieceModel(open(path, "rb").read())
+    rng = random.Random(9)
+    texts = ODD + ["\0a\0\0b", "\0", "a" * 31, "a" * 32, "a" * 33] + ["".join(rng.choice("aeinrst ▁é日😀\0") for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    for t, got in zip(texts, model.encode_all(texts), strict=True):
+        assert got[0].tolist() == sp.encode(t or "") and got[3] == sp.decode(got[0].tolist())
+        for seg in model.cut.findall(model.normalize(t or "")[0]):
+            assert (model.cache.get(seg) or model.old.get(seg) or model.segment(seg)) == model.segment(seg)
+
+
 def test_charsmap_takes_longest_prefix():
     import sentencepiece
 
@@ -310,6 +323,29 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(files.limit(0)).count() == 0
 
 
+def test_licence_lines_match_plain_cosine(spark):
+    rng = random.Random(11)
+    names = [t for _, t in license_scan.TEMPLATES]
+    texts = []
+    for _ in range(200):
+        words = rng.choice(names).split() if rng.random() < 0.7 else []
+        words = [w for w in words if rng.random() < 0.8] + [rng.choice(["mit", "words", "the", "License", "x1"]) for _ in range(rng.randint(0, 6))]
+        texts.append("\n".join([" ".join(words), "plain text", rng.choice(names) if rng.random() < 0.1 else ""]))
+    files = spark.createDataFrame([(i, f"d{i}/f", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(files).collect()}
+    split = license_scan._split
+    found = [set(split(t)) for t in texts]
+    idf = lambda w: np.log((len(texts) + 1) / (sum(w in f for f in found) + 1)) + 1 if w in known else np.log(len(texts) + 1) + 1
+    known = {w for t in names for w in split(t)}
+    weigh = lambda t: {w: split(t).count(w) * idf(w) for w in set(split(t))}
+    size = lambda v: sum(x * x for x in v.values()) ** 0.5
+    shapes = [(n, weigh(t)) for n, t in license_scan.TEMPLATES]
+    for i, t in enumerate(texts):
+        all_ = [(-round(sum(x * y.get(w, 0) for w, x in v.items()) / size(v) / size(y), 9), n) for v in map(weigh, t.split("\n")) if v for n, y in shapes]
+        cos, name = min(all_)
+        assert (got[i]["own_license"] == name and abs(got[i]["cosine"] + cos) < 1e-8) if -cos >= license_scan.LINE_COSINE else got[i]["own_license"] is None
+
+
 def brute_repair(roles):
     """Cheapest legal sequence by trying all actions per turn."""
     best = {chat.START: 0}
