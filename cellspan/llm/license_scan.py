@@ -1,10 +1,13 @@
 """License scans in DataFrame functions only: sparse TF-IDF cosine, then inheritance.
 
-Every line of a text is a candidate header, and the text as a whole a candidate licence
-file.  Term weights are tf * idf with document frequencies over all files; a line can
-only reach the threshold if it holds one of a template's heaviest terms and its unknown
-terms weigh little, and only such lines go on to the sparse product with the templates,
-a join on terms.  A file without a licence of its own takes that of the nearest directory above it that has a licence file.
+Every line of a text and every run of up to ``RUN_LINES`` lines is a candidate header, so
+is the leading block of comment lines, and the text as a whole is a candidate licence
+file.  Lines, runs, block and text meet the short templates; block and text also meet the
+full-length licences.  A licence file is a text that as a whole reaches the threshold.
+Term weights are tf * idf with document frequencies over all files; what can't reach the
+threshold by the Cauchy-Schwarz inequality is not weighed, the rest goes on to the sparse
+product with the templates, a join on terms.  A file without a licence of its own takes
+that of the nearest directory above it that has a licence file.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable
+from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +37,30 @@ TEMPLATES: list[tuple[str, str]] = [
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("Proprietary", "All rights reserved."),
 ]
+#: Notices that the licences ask for at the head of a file.
+NOTICES: list[tuple[str, str]] = [
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. "
+        "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+]
+#: Folder of full-length licences, by name.
+FULL_TEXTS = Path(__file__).with_name("licenses")
 LINE_COSINE = 0.8
-#: A file is a licence file if lines that match hold this share of its words.
-FILE_SHARE = 0.2
+#: Lines of a leading block: blank, or with the mark of a comment.
+COMMENT = r"^\s*(?:$|//|/?\*|#|--|;|%|<!--|\"\"\"|REM\b)"
+#: Lines that a wrapped short template may take.
+RUN_LINES = 4
+#: Steps of a template's term weights in the bound on whole texts.
+STEPS = 6
 SALTS = 16
 MAX_DEPTH = 64
 
@@ -73,25 +99,57 @@ def leading_terms(templates: list[tuple[str, str]], weight: dict[str, float], co
     return sorted(out)
 
 
-def template_vectors(spark: SparkSession, templates: list[tuple[str, str]], idf: DataFrame) -> DataFrame:
+def template_vectors(spark: SparkSession, templates: list[tuple[str, str]], idf: DataFrame, unknown: float) -> DataFrame:
     """license, template, term, weight divided by the template's norm."""
     rows = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(templates)], "template int, license string, text string")
     terms = rows.select("template", "license", F.explode(_terms(F.col("text"))).alias("term")).groupBy("template", "license", "term").count()
-    weighed = terms.join(idf, "term").withColumn("w", F.col("count") * F.col("idf"))
+    weighed = terms.join(idf, "term", "left").withColumn("w", F.col("count") * F.coalesce("idf", F.lit(unknown)))
     norms = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighed.join(norms, "template").select("template", "license", "term", (F.col("w") / F.col("norm")).alias("tw"))
 
 
-def scan_licenses(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", templates: list[tuple[str, str]] | None = None, cosine: float = LINE_COSINE, share: float = FILE_SHARE) -> DataFrame:
+def full_templates() -> list[tuple[str, str]]:
+    """The notices and the full-length licences that stand beside this module."""
+    return NOTICES + [(f.stem, f.read_text("utf-8")) for f in sorted(FULL_TEXTS.glob("*.txt"))]
+
+
+def _within(templates: list[tuple[str, str]], weight: Callable[[str], float], cosine: float, distinct: Column) -> Column:
+    """Whether a text with these distinct terms can be within ``cosine`` of a template.
+
+    By the Cauchy-Schwarz inequality its terms must hold ``cosine ** 2`` of a template's
+    squared norm.  A template's terms lie in steps by weight, and a term counts as the
+    heaviest of its step, so that set sizes are enough.
+    """
+    sums = []
+    for _, text in templates:
+        squares = {w: (n * weight(w)) ** 2 for w, n in Counter(_split(text)).items()}
+        ranked = sorted(squares, key=lambda w: (-squares[w], w))
+        total, bound, rest, top = sum(squares.values()), F.lit(0.0), ranked, 0.0
+        for step in range(STEPS):
+            top = squares[rest[0]]
+            here = [w for w in rest if squares[w] >= top / 3] if step < STEPS - 1 else rest
+            bound = bound + F.size(F.array_intersect(distinct, F.array(*map(F.lit, here)))) * F.lit(top / total)
+            rest = [w for w in rest if w not in set(here)]
+            if not rest:
+                break
+        sums.append(bound >= F.lit(cosine * cosine - 1e-6))
+    return reduce(Column.__or__, sums)
+
+
+def scan_licenses(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", templates: list[tuple[str, str]] | None = None, cosine: float = LINE_COSINE, full: list[tuple[str, str]] | None = None) -> DataFrame:
     """Per row: key, own_license, cosine, license_words, is_license_file, license, origin.
 
     ``origin`` is ``own``, ``inherited`` or null; ``inherited_from`` is the directory.
-    Among a file's lines the highest cosine wins, ties go to the licence of the first
-    name; among the licence files of one directory likewise, ties by name.  Null texts
-    and paths have no licence of their own; a null path lies in the root.  Repeated rows
-    are scanned each, their row number in a written table keeps them apart.
+    Among a file's lines, runs, leading block and whole text the highest cosine wins, ties
+    go to the licence of the first name; among the licence files of one directory likewise,
+    by the cosine of the whole text, ties by name.  ``license_words`` are the words of the
+    lines that any match covers.  ``full`` are the full-length templates, by default those
+    of :func:`full_templates`, none beside own ``templates``.  Null texts and paths have no
+    licence of their own; a null path lies in the root.  Repeated rows are scanned each,
+    their row number in a written table keeps them apart.
     """
     spark = files.sparkSession
+    full = (full_templates() if templates is None else []) if full is None else full
     templates = TEMPLATES if templates is None else templates
     if not templates:
         raise ValueError("no templates")
@@ -105,39 +163,58 @@ def scan_licenses(files: DataFrame, key: str = "doc_id", path: str = "path", tex
     weight = {w: math.log((total + 1) / (df.get(w, 0) + 1)) + 1 for w in vocabulary}
     unknown = math.log(total + 1) + 1
     idf = spark.createDataFrame(list(weight.items()), "term string, idf double")
-    weights = F.create_map(*(F.lit(x) for kv in weight.items() for x in kv))
-    # Only lines with a leading term of some template can reach the threshold, and of those
-    # only lines whose unknown terms, which add to the norm alone, weigh little.
+    floor = unknown
+    weights = F.create_map(*(F.lit(x) for w in vocabulary for x in (w, weight[w])))
+    # Only units with a leading term of some template can reach the threshold, and of those
+    # only units whose unknown terms, which add to the norm alone, weigh little.
     leading = leading_terms(templates, weight, cosine)
     has = lambda t: F.lower(t).rlike("(?:^|[^a-z0-9])(?:" + "|".join(leading) + ")(?:$|[^a-z0-9])")
-    lines = rows.select(F.monotonically_increasing_id().alias("row"), "key", "path", has("text").alias("some"), "text")
-    n_words = F.when(F.col("some"), F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))).otherwise(0)
-    bodies = F.when(F.col("some"), F.split("text", "\n")).otherwise(F.array(F.lit("")))
-    lines = lines.select("row", "key", "path", n_words.alias("n_words"), F.posexplode(bodies).alias("line", "body"))
+    far = F.array(*map(F.lit, sorted({w for _, t in full for w in _split(t)}))) if full else None
+    wide = _bound(F.array_intersect(F.split(F.lower("text"), "[^a-z0-9]+"), far), lambda t: _within(full, lambda w: weight.get(w, unknown), cosine, t)) if full else F.lit(False)
+    texts = rows.select(F.monotonically_increasing_id().alias("row"), "key", "path", has("text").alias("some"), wide.alias("wide"), "text")
+    bodies = F.when(F.col("some") | F.col("wide"), F.split("text", "\n")).otherwise(F.array().cast("array<string>"))
+    texts = texts.withColumn("bodies", bodies).withColumn("marks", F.when(F.col("some"), F.transform("bodies", has)).otherwise(F.array().cast("array<boolean>")))
+    # a unit: its first line, how many lines, whether it meets the full-length templates
+    n = F.size("bodies")
+    unit = lambda first, count, long: F.struct(first.cast("int").alias("first"), count.cast("int").alias("count"), long.alias("long"))
+    run = lambda k: F.filter(F.transform(F.sequence(F.lit(1), n), lambda i: unit(i, F.lit(k), F.lit(False))), lambda u: (u["first"] + k - 1 <= n) & F.exists(F.slice("marks", u["first"], F.lit(k)), lambda m: m))
+    runs = F.when(F.col("some"), F.concat(*(run(k) for k in range(1, RUN_LINES + 1))))
+    code = F.transform("bodies", lambda b: ~b.rlike(COMMENT))
+    head = F.when(F.exists(code, lambda c: c), F.array_position(code, True) - 1).otherwise(n)
+    blocks = F.when(n > 0, F.filter(F.array(unit(F.lit(1), head, F.col("wide")), unit(F.lit(1), n, F.col("wide"))), lambda u: u["count"] > 0))
+    none = F.array().cast("array<struct<first:int,count:int,long:boolean>>")
+    every = F.concat(F.array(unit(F.lit(0), F.lit(0), F.lit(False))), F.coalesce(runs, none), F.coalesce(blocks, none))
+    units = texts.select("row", "key", "path", "some", "bodies", n.alias("n_lines"), F.posexplode(F.array_distinct(every)).alias("unit", "u"))
+    units = units.select("row", "key", "path", "some", "unit", "n_lines", "u.*", F.when(F.col("u.first") > 0, F.slice("bodies", F.col("u.first"), F.col("u.count"))).alias("lines"))
+    units = units.withColumn("body", F.array_join("lines", "\n"))
     terms = _terms(F.col("body"))
     squared = lambda w: F.element_at(weights, w) * F.element_at(weights, w)
     inner = lambda inside: F.aggregate(F.array_distinct(inside), F.lit(0.0), lambda acc, w: acc + squared(w) * F.pow(F.size(F.filter(inside, lambda x: x == w)), F.lit(2)))
     # the least that the unknown terms can weigh: all different
-    outer = lambda every, inside: (F.size(every) - F.size(inside)) * F.lit(unknown * unknown)
+    outer = lambda every, inside: (F.size(every) - F.size(inside)) * F.lit(floor * floor)
     near = lambda known, other: (known > 0) & (known >= F.lit(cosine * cosine) * (known + other))
     able = _bound(terms, lambda every: _bound(F.filter(every, lambda w: F.array_contains(words, w)), lambda inside: _bound(inner(inside), lambda known: near(known, outer(every, inside)))))
-    marked = lines.withColumn("able", F.when(has("body"), able).otherwise(False)).where("line = 0 or able")
-    marked = marked.withColumn("terms", F.when(F.col("able"), terms))
-    kept = durable(marked.select("row", "key", "path", "n_words", "line", "able", "terms", F.size("terms").alias("n_terms")), "licence-lines")
-    norm = kept.where("able").select("row", "line", "n_terms", F.explode("terms").alias("term")).groupBy("row", "line", "n_terms", "term").agg(F.count("*").alias("tf"))
+    marked = units.withColumn("able", F.when(F.col("first") == 0, False).when(F.col("long"), True).when(F.col("some"), able).otherwise(False)).where("first = 0 or able")
+    marked = marked.withColumn("terms", F.when(F.col("able"), terms)).withColumn("sizes", F.when(F.col("able"), F.transform("lines", lambda b: F.size(_terms(b)))))
+    kept = durable(marked.select("row", "key", "path", "unit", "first", "long", (F.col("count") == F.col("n_lines")).alias("whole"), "able", "terms", "sizes"), "licence-units")
+    norm = kept.where("able").select("row", "unit", "long", F.explode("terms").alias("term")).groupBy("row", "unit", "long", "term").agg(F.count("*").alias("tf"))
     norm = norm.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
-    vectors = template_vectors(spark, templates, idf)
-    lengths = norm.groupBy("row", "line", "n_terms").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = norm.join(F.broadcast(vectors), "term").groupBy("row", "line", "template", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scores = dots.join(lengths, ["row", "line"]).withColumn("cos", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cos") >= cosine)
-    best = scores.groupBy("row", "line", "n_terms").agg(F.max("cos").alias("cos"), F.min_by("license", F.struct(-F.col("cos"), F.col("license"))).alias("license"))
-    own = best.groupBy("row").agg(F.max("cos").alias("cosine"), F.min_by("license", F.struct(-F.col("cos"), F.col("license"))).alias("own_license"), F.sum("n_terms").alias("license_words"))
-    scanned = kept.where("line = 0").select("row", "key", "path", "n_words").join(own, "row", "left")
+    vectors = template_vectors(spark, templates + full, idf, unknown)
+    lengths = norm.groupBy("row", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = norm.join(F.broadcast(vectors), "term").where(F.col("long") | (F.col("template") < len(templates)))
+    dots = dots.groupBy("row", "unit", "template", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    scores = dots.join(lengths, ["row", "unit"]).withColumn("cos", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cos") >= cosine)
+    best = scores.groupBy("row", "unit").agg(F.max("cos").alias("cos"), F.min_by("license", F.struct(-F.col("cos"), F.col("license"))).alias("license"))
+    best = durable(best.join(kept.where("able").select("row", "unit", "first", "whole", "sizes"), ["row", "unit"]), "licence-matches")
+    covered = best.select("row", "first", F.posexplode("sizes").alias("at", "n")).select("row", (F.col("first") + F.col("at")).alias("line"), "n").distinct().groupBy("row").agg(F.sum("n").alias("license_words"))
+    by = F.struct(-F.col("cos"), F.col("license"))
+    own = best.groupBy("row").agg(F.max("cos").alias("cosine"), F.min_by("license", by).alias("own_license"), F.max(F.when(F.col("whole"), F.col("cos"))).alias("file_cosine"), F.min_by(F.when(F.col("whole"), F.col("license")), F.when(F.col("whole"), by)).alias("file_license"))
+    scanned = kept.where("first = 0").select("row", "key", "path").join(own.join(covered, "row"), "row", "left")
     scanned = scanned.withColumn("license_words", F.coalesce(F.col("license_words"), F.lit(0)).cast("long"))
-    scanned = scanned.withColumn("is_license_file", F.col("own_license").isNotNull() & (F.col("license_words") >= share * F.col("n_words")))
+    scanned = scanned.withColumn("is_license_file", F.col("file_cosine").isNotNull())
     scanned = durable(scanned.withColumn("dir", F.element_at(_parents(F.col("path")), 1)), "scanned-files")
     # one row a directory on both sides: a directory with a third of all files is one row
-    offers = scanned.where("is_license_file").groupBy("dir").agg(F.min_by("own_license", F.struct(-F.col("cosine"), F.col("own_license"))).alias("offer"))
+    offers = scanned.where("is_license_file").groupBy("dir").agg(F.min_by("file_license", F.struct(-F.col("file_cosine"), F.col("file_license"))).alias("offer"))
     dirs = scanned.select("dir", "path").groupBy("dir").agg(F.min("path").alias("path")).select("dir", F.posexplode(_parents(F.col("path"))).alias("up", "above"))
     nearest = dirs.join(offers.withColumnRenamed("dir", "above"), "above").groupBy("dir").agg(F.min_by(F.struct("offer", "above"), "up").alias("got"))
     # files of a hot directory are dealt over salts, the directory's row is repeated

@@ -346,6 +346,25 @@ def test_licence_lines_match_plain_cosine(spark):
         assert (got[i]["own_license"] == name and abs(got[i]["cosine"] + cos) < 1e-8) if -cos >= license_scan.LINE_COSINE else got[i]["own_license"] is None
 
 
+def test_whole_licences_and_wrapped_headers(spark):
+    full = {n: t for n, t in license_scan.full_templates()}
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License"
+    code = "\nimport x\n" + "\n".join(f"value_{i} = call_{i}(arg)" for i in range(60))
+    comment = lambda t: "\n".join("# " + x for x in t.split("\n"))
+    notice = license_scan.NOTICES[0][1].split()
+    notice = "\n".join(" ".join(notice[i : i + 5]) for i in range(0, len(notice), 5))
+    rows = [
+        (1, "m/LICENSE", "Copyright (c) 2020 Foo Bar\n\n" + full["MIT"]), (2, "m/src/a.py", "import y"), (3, "b/x.c", "int a;\n" + bsd + code), (4, "g/x.py", gpl + code),
+        (5, "p/LICENSE", full["Apache-2.0"]), (6, "q/COPYING", full["GPL-3.0"]), (7, "r/LICENSE", full["BSD-3-Clause"]), (8, "s/x.py", comment(notice) + code), (9, "t/y.txt", "Released under the MIT License.\nfour words of prose"), (10, "t/z.txt", "more words"),
+    ]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(files).collect()}
+    assert [got[i]["license"] for i in range(1, 11)] == ["MIT", "MIT", "BSD-3-Clause", "GPL-3.0", "Apache-2.0", "GPL-3.0", "BSD-3-Clause", "Apache-2.0", "MIT", None]
+    assert [i for i in range(1, 11) if got[i]["is_license_file"]] == [1, 5, 6, 7]
+    assert got[2]["inherited_from"] == "m" and got[3]["license_words"] >= len(license_scan._split(bsd))
+
+
 def brute_repair(roles):
     """Cheapest legal sequence by trying all actions per turn."""
     best = {chat.START: 0}
