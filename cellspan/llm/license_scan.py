@@ -136,7 +136,7 @@ def _within(templates: list[tuple[str, str]], weight: Callable[[str], float], co
     return reduce(Column.__or__, sums)
 
 
-def scan_licenses(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", templates: list[tuple[str, str]] | None = None, cosine: float = LINE_COSINE, full: list[tuple[str, str]] | None = None) -> DataFrame:
+def scan_licenses(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", templates: list[tuple[str, str]] | None = None, cosine: float = LINE_COSINE, full: list[tuple[str, str]] | None = None, all_words: bool = False) -> DataFrame:
     """Per row: key, own_license, cosine, license_words, is_license_file, license, origin.
 
     ``origin`` is ``own``, ``inherited`` or null; ``inherited_from`` is the directory.
@@ -144,7 +144,9 @@ def scan_licenses(files: DataFrame, key: str = "doc_id", path: str = "path", tex
     go to the licence of the first name; among the licence files of one directory likewise,
     by the cosine of the whole text, ties by name.  ``license_words`` are the words of the
     lines that any match covers.  ``full`` are the full-length templates, by default those
-    of :func:`full_templates`, none beside own ``templates``.  Null texts and paths have no
+    of :func:`full_templates`, none beside own ``templates``.  With ``all_words`` every word
+    has its document frequency over all files; without, a word of no short template weighs
+    like one in no file, which grows with the number of files.  Null texts and paths have no
     licence of their own; a null path lies in the root.  Repeated rows are scanned each,
     their row number in a written table keeps them apart.
     """
@@ -156,14 +158,21 @@ def scan_licenses(files: DataFrame, key: str = "doc_id", path: str = "path", tex
     vocabulary = sorted({w for _, t in templates for w in _split(t)})
     words = F.array(*map(F.lit, vocabulary))
     rows = files.select(F.col(key).alias("key"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    # document frequencies of the templates' terms, over all files
-    hits = rows.select(F.array_intersect(F.split(F.lower("text"), "[^a-z0-9]+"), words).alias("t")).select(F.explode(F.concat("t", F.array(F.lit("")))).alias("term"))
-    df = {r["term"]: r["n"] for r in hits.groupBy("term").agg(F.count("*").alias("n")).collect()}
+    # document frequencies over all files, the number of files under the empty term
+    terms_of = F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))
+    seen = terms_of if all_words else F.array_intersect(terms_of, words)
+    hits = rows.select(F.explode(F.concat(F.filter(seen, lambda w: w != ""), F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    if all_words:
+        hits = durable(hits, "document-frequencies")
+    asked = spark.createDataFrame([(w,) for w in sorted({"", *vocabulary, *(w for _, t in full for w in _split(t))})], "term string")
+    df = {r["term"]: r["n"] for r in hits.join(F.broadcast(asked), "term", "left_semi").collect()}
     total = df.pop("", 0)
-    weight = {w: math.log((total + 1) / (df.get(w, 0) + 1)) + 1 for w in vocabulary}
-    unknown = math.log(total + 1) + 1
-    idf = spark.createDataFrame(list(weight.items()), "term string, idf double")
-    floor = unknown
+    value = lambda n: math.log((total + 1) / (n + 1)) + 1
+    weight = {w: value(df.get(w, 0)) for w in ([r for r in df] + vocabulary if all_words else vocabulary)}
+    unknown = value(0)
+    # no word weighs less than one that all files hold
+    floor = 1.0 if all_words else unknown
+    known = spark.createDataFrame(list(weight.items()), "term string, idf double")
     weights = F.create_map(*(F.lit(x) for w in vocabulary for x in (w, weight[w])))
     # Only units with a leading term of some template can reach the threshold, and of those
     # only units whose unknown terms, which add to the norm alone, weigh little.
@@ -198,8 +207,15 @@ def scan_licenses(files: DataFrame, key: str = "doc_id", path: str = "path", tex
     marked = marked.withColumn("terms", F.when(F.col("able"), terms)).withColumn("sizes", F.when(F.col("able"), F.transform("lines", lambda b: F.size(_terms(b)))))
     kept = durable(marked.select("row", "key", "path", "unit", "first", "long", (F.col("count") == F.col("n_lines")).alias("whole"), "able", "terms", "sizes"), "licence-units")
     norm = kept.where("able").select("row", "unit", "long", F.explode("terms").alias("term")).groupBy("row", "unit", "long", "term").agg(F.count("*").alias("tf"))
-    norm = norm.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
-    vectors = template_vectors(spark, templates + full, idf, unknown)
+    if all_words:
+        # of all words only those of the units that are weighed
+        met = kept.where("able").select(F.explode("terms").alias("term")).distinct()
+        idf = durable(hits.where("term != ''").join(met, "term", "left_semi").select("term", (F.log(F.lit(total + 1.0) / (F.col("n") + 1)) + 1).alias("idf")), "word-weights")
+        norm = norm.join(idf, "term", "left")
+    else:
+        norm = norm.join(F.broadcast(known), "term", "left")
+    norm = norm.withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    vectors = template_vectors(spark, templates + full, known, unknown)
     lengths = norm.groupBy("row", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = norm.join(F.broadcast(vectors), "term").where(F.col("long") | (F.col("template") < len(templates)))
     dots = dots.groupBy("row", "unit", "template", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))

@@ -53,7 +53,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     # documents are files of their source, a directory a language and a hundred numbers
     path = F.concat_ws("/", "source", "lang", (F.col("doc_id") / 100).cast("long").cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return scan_licenses(docs.withColumn("path", path)).withColumn("cosine", F.round("cosine", 6))
+    return scan_licenses(docs.withColumn("path", path), all_words=True).withColumn("cosine", F.round("cosine", 6))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

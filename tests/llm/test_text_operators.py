@@ -365,6 +365,29 @@ def test_whole_licences_and_wrapped_headers(spark):
     assert got[2]["inherited_from"] == "m" and got[3]["license_words"] >= len(license_scan._split(bsd))
 
 
+def test_licence_weights_are_of_all_words(spark):
+    rng = random.Random(12)
+    names = [t for _, t in license_scan.TEMPLATES]
+    line = "Licensed under the Apache License, Version 2.0. foo"
+    texts = [line, "Released under the MIT License. See LICENSE"] + ["foo see " + " ".join(rng.choice(["alpha", "beta", "foo", "see"]) for _ in range(5)) for _ in range(300)]
+    texts += [" ".join([w for w in rng.choice(names).split() if rng.random() < 0.9] + [rng.choice(["foo", "beta", "rare"]) for _ in range(rng.randint(0, 4))]) for _ in range(80)]
+    files = spark.createDataFrame([(i, f"d{i}/f", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(files, templates=license_scan.TEMPLATES, all_words=True).collect()}
+    split = license_scan._split
+    found = [set(split(t)) for t in texts]
+    idf = lambda w: np.log((len(texts) + 1) / (sum(w in f for f in found) + 1)) + 1
+    weigh = lambda t: {w: split(t).count(w) * idf(w) for w in set(split(t))}
+    size = lambda v: sum(x * x for x in v.values()) ** 0.5
+    shapes = [(n, weigh(t)) for n, t in license_scan.TEMPLATES]
+    for i, t in enumerate(texts):
+        v = weigh(t)
+        cos, name = min((-round(sum(x * y.get(w, 0) for w, x in v.items()) / size(v) / size(y), 9), n) for n, y in shapes)
+        assert (got[i]["own_license"] == name and abs(got[i]["cosine"] + cos) < 1e-8) if -cos >= license_scan.LINE_COSINE else got[i]["own_license"] is None
+    assert got[0]["own_license"] == "Apache-2.0"
+    pinned = {r["doc_id"]: r for r in license_scan.scan_licenses(files).collect()}
+    assert got[0]["cosine"] > pinned[0]["cosine"]
+
+
 def brute_repair(roles):
     """Cheapest legal sequence by trying all actions per turn."""
     best = {chat.START: 0}
