@@ -62,7 +62,6 @@ RUN_LINES = 4
 #: Steps of a template's term weights in the bound on whole texts.
 STEPS = 6
 SALTS = 16
-MAX_DEPTH = 64
 
 
 def _terms(text: Column) -> Column:
@@ -74,11 +73,19 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _parts(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda x: x != "")
+
+
+def _directory(path: Column) -> Column:
+    """The directory that a path lies in, the root is empty."""
+    return _bound(_parts(path), lambda parts: F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/"))
+
+
 def _parents(path: Column) -> Column:
-    """Directories above a path, the nearest first, the root (empty) last; ``MAX_DEPTH`` at most."""
-    parts = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, MAX_DEPTH)
-    depth = F.size(parts) - 1
-    return F.when(depth < 0, F.array(F.lit(""))).otherwise(F.transform(F.sequence(depth, F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "/")))
+    """All directories above a path, the nearest first, the root (empty) last."""
+    every = lambda parts: F.transform(F.sequence(F.size(parts) - 1, F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return _bound(_parts(path), lambda parts: F.when(F.size(parts) < 1, F.array(F.lit(""))).otherwise(every(parts)))
 
 
 def leading_terms(templates: list[tuple[str, str]], weight: dict[str, float], cosine: float) -> list[str]:
@@ -228,7 +235,7 @@ def scan_licenses(files: DataFrame, key: str = "doc_id", path: str = "path", tex
     scanned = kept.where("first = 0").select("row", "key", "path").join(own.join(covered, "row"), "row", "left")
     scanned = scanned.withColumn("license_words", F.coalesce(F.col("license_words"), F.lit(0)).cast("long"))
     scanned = scanned.withColumn("is_license_file", F.col("file_cosine").isNotNull())
-    scanned = durable(scanned.withColumn("dir", F.element_at(_parents(F.col("path")), 1)), "scanned-files")
+    scanned = durable(scanned.withColumn("dir", _directory(F.col("path"))), "scanned-files")
     # one row a directory on both sides: a directory with a third of all files is one row
     offers = scanned.where("is_license_file").groupBy("dir").agg(F.min_by("file_license", F.struct(-F.col("file_cosine"), F.col("file_license"))).alias("offer"))
     dirs = scanned.select("dir", "path").groupBy("dir").agg(F.min("path").alias("path")).select("dir", F.posexplode(_parents(F.col("path"))).alias("up", "above"))

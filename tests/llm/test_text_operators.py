@@ -388,6 +388,14 @@ def test_licence_weights_are_of_all_words(spark):
     assert got[0]["cosine"] > pinned[0]["cosine"]
 
 
+def test_licences_of_deep_directories(spark):
+    up = "/".join(f"d{i}" for i in range(69))
+    rows = [(1, f"{up}/x/LICENSE", "Released under the MIT License."), (2, f"{up}/x/y/a.txt", "words"), (3, f"{up}/z/a.txt", "words"), (4, f"{up}/b.txt", "words"), (5, "/", "words"), (6, "//d0//b.txt", "words")]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(files).collect()}
+    assert [got[i]["license"] for i in range(1, 7)] == ["MIT", "MIT", None, None, None, None] and got[2]["inherited_from"] == f"{up}/x"
+
+
 def brute_repair(roles):
     """Cheapest legal sequence by trying all actions per turn."""
     best = {chat.START: 0}
