@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_BYTES, durable, slices
 
 WINDOW = 8
+#: Words of a passage of one item that make a leak.
+MIN_RUN = 13
 #: Bytes of a text that are split into words at a time.
 CHUNK = 1 << 20
 #: Lower-cases A-Z, keeps digits, letters and all non-ASCII bytes, blanks the rest.
@@ -45,12 +47,18 @@ class WuManber:
         owners: dict[tuple[int, ...], list[int]] = defaultdict(list)
         self.keys: list[str] = []
         self.sizes: list[int] = []
+        self.lengths: list[int] = []
+        #: the windows of an item in order, as word numbers
+        self.order: list[list[tuple[int, ...]]] = []
+        self.window = window
         for key, text in items:
             found = item_windows(text, window)
             for w in found:
                 owners[tuple(self.number.setdefault(x, len(self.number) + 1) for x in w)].append(len(self.keys))
             self.keys.append(key)
             self.sizes.append(len(found))
+            self.order.append(self._sequence(words_of(text), window))
+            self.lengths.append(len(words_of(text)))
         self.base = len(self.number) + 1
         self.groups = []
         for length in sorted({len(p) for p in owners}):
@@ -66,6 +74,30 @@ class WuManber:
                 bucket[self._code(pattern[length - block :])].append((pattern, own))
             self.groups.append((length, block, shift, dict(bucket)))
 
+    def _sequence(self, words: list[bytes], window: int) -> list[tuple[int, ...]]:
+        ids = [self.number[w] for w in words]
+        return [tuple(ids[i : i + window]) for i in range(max(1, len(ids) - window + 1))] if ids else []
+
+    def runs(self, at: dict[int, tuple[int, ...]], hit: dict[int, set[tuple[int, ...]]]) -> dict[int, int]:
+        """By item the words of the longest passage that text and item have in common.
+
+        ``at``: windows hit by word position.  A passage goes on where the next window
+        of the item starts at the next word of the text.
+        """
+        out: dict[int, int] = {}
+        for item in hit:
+            places: dict[tuple[int, ...], list[int]] = defaultdict(list)
+            for i, pattern in enumerate(self.order[item]):
+                places[pattern].append(i)
+            best, last, before = 0, -2, {}
+            for start in sorted(at):
+                here = {i: (before.get(i - 1, 0) if start == last + 1 else 0) + 1 for i in places.get(at[start], ())}
+                best = max([best, *here.values()])
+                before, last = here, start
+            length = min(self.window, self.lengths[item])
+            out[item] = best + length - 1 if best else 0
+        return out
+
     def _code(self, words) -> int:
         code = 0
         for w in words:
@@ -85,11 +117,12 @@ class WuManber:
             at = end
         return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
-    def search(self, text: str | None) -> tuple[int, list[tuple[int, int]], dict[int, int]]:
-        """(words, merged hit spans of word positions, distinct windows hit by item)."""
+    def search(self, text: str | None) -> tuple[int, list[tuple[int, int]], dict[int, int], dict[int, int]]:
+        """(words, merged hit spans of word positions, distinct windows hit and longest common passage by item)."""
         ids = self.numbers(text)
         n, spans = len(ids), []
         hit: dict[int, set[tuple[int, ...]]] = defaultdict(set)
+        passages: dict[int, int] = {}
         for length, block, shift, bucket in self.groups:
             if n < length:
                 continue
@@ -97,6 +130,8 @@ class WuManber:
             # codes[j] is the block that ends at word j + block - 1
             last, j, far = len(codes), length - block, length - block + 1
             get, listed = shift.get, ids.tolist()
+            at: dict[int, tuple[int, ...]] = {}
+            found: dict[int, set[tuple[int, ...]]] = defaultdict(set)
             while j < last:
                 move = get(codes[j], far)
                 if move:
@@ -107,22 +142,26 @@ class WuManber:
                 for pattern, own in bucket[codes[j]]:
                     if pattern == view:
                         spans.append((start, start + length))
+                        at[start] = pattern
                         for item in own:
-                            hit[item].add(pattern)
+                            found[item].add(pattern)
                         break
                 j += 1
+            # all windows of an item have one length
+            passages |= self.runs(at, found)
+            hit |= found
         merged: list[tuple[int, int]] = []
         for a, b in sorted(spans):
             if merged and a <= merged[-1][1]:
                 merged[-1] = merged[-1][0], max(merged[-1][1], b)
             else:
                 merged.append((a, b))
-        return n, merged, {k: len(v) for k, v in hit.items()}
+        return n, merged, {k: len(v) for k, v in hit.items()}, passages
 
 
 _SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-_ITEMS = pa.list_(pa.struct([("item", pa.string()), ("hit", pa.int32()), ("windows", pa.int32())]))
-_SCHEMA = "n_words long, spans array<struct<begin:int,end:int>>, items array<struct<item:string,hit:int,windows:int>>"
+_ITEMS = pa.list_(pa.struct([("item", pa.string()), ("hit", pa.int32()), ("windows", pa.int32()), ("words", pa.int32()), ("run", pa.int32())]))
+_SCHEMA = "n_words long, spans array<struct<begin:int,end:int>>, items array<struct<item:string,hit:int,windows:int,words:int,run:int>>"
 
 
 def _pass(rows: DataFrame, items: list[tuple[str, str | None]], window: int) -> DataFrame:
@@ -133,10 +172,10 @@ def _pass(rows: DataFrame, items: list[tuple[str, str | None]], window: int) ->
         for piece in slices(batches):
             n, spans, found = [], [], []
             for text in piece.column("text").to_pylist():
-                words, merged, hit = search.search(text)
+                words, merged, hit, passages = search.search(text)
                 n.append(words)
                 spans.append([{"begin": a, "end": b} for a, b in merged])
-                found.append([{"item": search.keys[i], "hit": c, "windows": search.sizes[i]} for i, c in sorted(hit.items())])
+                found.append([{"item": search.keys[i], "hit": c, "windows": search.sizes[i], "words": search.lengths[i], "run": passages[i]} for i, c in sorted(hit.items())])
             yield pa.RecordBatch.from_arrays([piece.column("key"), pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(found, _ITEMS)], ["key", "n_words", "spans", "items"])
 
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, {_SCHEMA}")
@@ -149,7 +188,7 @@ def find_contamination(
 
     Returns one row per input row: key, n_words, ``spans`` (maximal runs of word
     positions inside occurrences), ``items`` (item key as text, distinct windows hit,
-    windows of the item).  Null or empty texts have no words; items without words
+    windows of the item, words of the item, words of the longest passage in common).  Null or empty texts have no words; items without words
     match nothing; items of fewer than ``window`` words are one window; repeated
     items are kept by key, repeated documents give repeated rows.
 
@@ -197,14 +236,19 @@ def find_contamination(
     return merged.select(F.col("key.id").alias(key), "n_words", union.alias("spans"), "items")
 
 
-def contamination_verdict(found: DataFrame, min_items: int = 2, min_cover: float = 0.5) -> DataFrame:
+def contamination_verdict(found: DataFrame, min_run: int = MIN_RUN, min_words: int = WINDOW) -> DataFrame:
     """Add n_hit, item_keys (sorted, distinct), n_items, cover and leaked.
 
-    ``cover`` is the largest share of an item's windows that occur; a document is
-    ``leaked`` with ``min_items`` items or with at least ``min_cover`` of one item.
+    ``cover`` is the largest share of an item's windows that occur.  A document is
+    ``leaked`` with a passage of ``min_run`` words of one item, with the whole of an item
+    of at least ``min_words``, or with windows of two such items: however long the item,
+    and never for items of fewer words alone.
     """
     hits = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["begin"])
     keys = F.array_sort(F.array_distinct(F.transform("items", lambda i: i["item"])))
     cover = F.coalesce(F.array_max(F.transform("items", lambda i: i["hit"] / i["windows"])), F.lit(0.0))
+    long = F.filter("items", lambda i: i["words"] >= min_words)
+    several = F.size(F.array_distinct(F.transform(long, lambda i: i["item"]))) >= 2
+    passage = F.exists(long, lambda i: (i["run"] >= min_run) | (i["run"] >= i["words"]))
     out = found.withColumns({"n_hit": hits, "item_keys": keys, "n_items": F.size(keys).cast("long"), "cover": cover})
-    return out.withColumn("leaked", (F.col("n_items") >= min_items) | (F.col("cover") >= min_cover))
+    return out.withColumn("leaked", several | passage)

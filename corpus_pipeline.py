@@ -47,7 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with windows of two items, or with half the windows of one, go."""
+    """Documents with 13 words in a row of one item, a whole item, or windows of two items go; items under 8 words don't count."""
     found = find_contamination(_whole(docs), read_table(spark, sf_dir, "benchmark"), key="doc")
     return contamination_verdict(found).where("not leaked").select("doc.*")
 

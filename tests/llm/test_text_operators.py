@@ -127,6 +127,18 @@ def test_contamination_matches_brute_force(spark):
     assert all(not r["items"] for r in empty)
 
 
+def test_leaks_are_passages_of_any_item(spark):
+    item = [f"w{i}" for i in range(59)]
+    texts = [" ".join(["lead"] + item[a : a + n] + ["tail"]) for a, n in ((0, 32), (20, 13), (20, 12), (0, 59))]
+    texts += ["gh1 is here", " ".join(item[:10] + ["gap"] + item[30:40]), "s0 s1 s2 s3 s4 s5 s6 s7 s8", "s0 s1 s2 s3 s4 s5 s6 s7", " ".join(item[:8]) + " s0 s1 s2 s3 s4 s5 s6 s7", "gh1 ab cd", " ".join(item[:8]) + " gh1"]
+    texts += ["r r r r r r r r r r r r r r", "r r r r r r r r r r r r"]
+    items = [("long", " ".join(item)), ("one", "gh1"), ("two", "ab cd"), ("nine", "s0 s1 s2 s3 s4 s5 s6 s7 s8"), ("same", "r " * 20)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for block in (1 << 20, 30):
+        got = {r["doc_id"]: r for r in wu_manber.contamination_verdict(wu_manber.find_contamination(frame(spark, texts), bench, block_bytes=block)).collect()}
+        assert [got[i]["leaked"] for i in range(len(texts))] == [True, True, False, True, False, False, True, False, True, False, False, True, False]
+
+
 def plain_sets(texts, k):
     for t in texts:
         w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
