@@ -35,8 +35,8 @@ SHORT_LIST = 2048
 SHORT_CLASSES = 32
 #: Words whose counts go to every task; all others get theirs by a join.
 KNOWN_WORDS = 1 << 16
-#: Share of the training texts that gradient steps are taken on: it grows with the input.
-TRAIN_SHARE = 0.06
+#: Share of the training texts that gradient steps are taken on: all of them.
+TRAIN_SHARE = 1.0
 ROUNDS = 2
 WINDOW = 24
 STREAMS = 48
@@ -371,8 +371,14 @@ def learn_lexicon(counts: DataFrame, known: int = KNOWN_WORDS, short_list: int =
     return Lexicon.build(top, total[0], total[1], {r[0]: (r[1], r[2]) for r in sums}, short_list, classes)
 
 
+def part_of_round(train: DataFrame, k: int, share: float = TRAIN_SHARE, rounds: int = ROUNDS) -> DataFrame:
+    """Rows (key, text) of round ``k``: drawn by key and text, so copies are drawn one by one."""
+    hashed = F.pmod(F.xxhash64("key", "text"), F.lit(1_000_000)) / F.lit(1e6)
+    return train.where((hashed >= k * share / rounds) & (hashed < (k + 1) * share / rounds))
+
+
 def train_network(train: DataFrame, lexicon: Lexicon, share: float = TRAIN_SHARE, rounds: int = ROUNDS, rate: float = 0.02) -> GatedNetwork:
-    """Rounds of local steps with averaging over a hashed share of the training texts.
+    """Rounds of local steps with averaging over the training texts, or a hashed share of them.
 
     Each round takes its own part of the share.  Every partition starts from the
     round's parameters and returns its own, weighted by tokens; these are summed in
@@ -380,9 +386,8 @@ def train_network(train: DataFrame, lexicon: Lexicon, share: float = TRAIN_SHARE
     """
     spark = train.sparkSession
     network = GatedNetwork(lexicon)
-    hashed = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / F.lit(1e6)
     for k in range(rounds):
-        part = train.where((hashed >= k * share / rounds) & (hashed < (k + 1) * share / rounds)).select(F.lit(0).alias("key"), "text")
+        part = part_of_round(train, k, share, rounds).select(F.lit(0).alias("key"), "text")
         shared = spark.sparkContext.broadcast(pickle.dumps((network.p, lexicon)))
         pace = rate / (1 + k)
 

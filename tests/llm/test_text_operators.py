@@ -301,6 +301,16 @@ def test_recurrent_gradients_and_proper_distribution():
     assert loss() > before
 
 
+def test_network_trains_on_all_texts(spark):
+    rows = spark.createDataFrame([(i, "the same text" if i < 300 else f"text {i}") for i in range(900)] + [(None, "null key")], "key long, text string")
+    parts = [recurrent_lm.part_of_round(rows, k).collect() for k in range(recurrent_lm.ROUNDS)]
+    assert sorted(str(r) for p in parts for r in p) == sorted(str(r) for r in rows.collect())
+    # a share holds copies in proportion, not all or none of them
+    some = [r for k in range(2) for r in recurrent_lm.part_of_round(rows, k, 0.2).collect()]
+    copies = sum(r["text"] == "the same text" for r in some)
+    assert 30 <= copies <= 90 and 80 <= len(some) - copies <= 160
+
+
 def test_lm_scores(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(["the cat sat", "der hund lief", "on a mat"]) for _ in range(rng.randint(3, 30))) for _ in range(80)] + [None, "", "Unseen wörd"]
