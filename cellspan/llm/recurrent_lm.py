@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import durable, slices
 
 END = b"\n"
-HIDDEN = 16
+HIDDEN = 20
 SHORT_LIST = 2048
 SHORT_CLASSES = 32
 #: Words whose counts go to every task; all others get theirs by a join.

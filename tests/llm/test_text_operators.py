@@ -301,6 +301,11 @@ def test_recurrent_gradients_and_proper_distribution():
     assert loss() > before
 
 
+def test_network_has_twenty_units():
+    lex = recurrent_lm.Lexicon.build([(b"aa", 2), (recurrent_lm.END, 1)], 3, 2, {}, 2, 2)
+    assert recurrent_lm.GatedNetwork(lex).p["u"].shape == (20, 60)
+
+
 def test_network_trains_on_all_texts(spark):
     rows = spark.createDataFrame([(i, "the same text" if i < 300 else f"text {i}") for i in range(900)] + [(None, "null key")], "key long, text string")
     parts = [recurrent_lm.part_of_round(rows, k).collect() for k in range(recurrent_lm.ROUNDS)]
