@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,26 +39,35 @@ def letters_of(text: str) -> bytes:
     return " ".join(_LETTERS.findall(text.lower())).encode("utf-8", "surrogatepass")
 
 
+def _piece(text: str) -> Column:
+    """``TEXT_SHARE`` characters of a text from a place that its hash draws; short texts whole."""
+    start = F.pmod(F.xxhash64(text, F.lit(1)), F.greatest(F.length(text) - TEXT_SHARE + 1, F.lit(1)))
+    return F.substring(text, start.cast("int") + 1, F.lit(TEXT_SHARE))
+
+
 def learn_dictionaries(train: DataFrame, lang: str = "lang", text: str = "text", dict_bytes: int = DICT_BYTES, texts: int = DICT_TEXTS) -> dict[str, bytes]:
     """Dictionary content per language, most frequent language first.
 
-    Counts per language cover all rows.  They set, per language, a hash threshold
-    that lets about ``4 * texts`` rows through; of these the ``texts`` smallest by
-    hash are read, ``TEXT_SHARE`` bytes of each at most.  So the learner reads at most
-    ``texts`` rows a language at any size of the input, and all rows of a small one.
+    Counts per language cover all rows.  The number of distinct texts (estimated) sets,
+    per language, a hash threshold that lets about ``4 * texts`` of them through; of these
+    the ``texts`` smallest by hash are read, however many copies each has.  A text gives
+    ``TEXT_SHARE`` bytes at most, from a place anywhere in it that its hash draws.  So the
+    learner reads at most ``texts`` texts a language at any size of the input, and all
+    texts of a small one.
     Rows with a null language or a null or empty text are not learnt from.
     """
     rows = train.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and length(text) > 0")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(BROADCAST_BYTES // dict_bytes + 1).collect()}
+    order = F.xxhash64("text")
+    tally = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(order).alias("d"))
+    counts = {r["lang"]: max(1, r["d"]) for r in tally.orderBy(F.desc("n"), "lang").limit(BROADCAST_BYTES // dict_bytes + 1).collect()}
     if len(counts) * dict_bytes > BROADCAST_BYTES:
         raise ValueError(f"more than {BROADCAST_BYTES // dict_bytes} languages need too much for their dictionaries; lower dict_bytes")
-    # the share of each language's rows stands in the filter: texts aren't moved for it
+    # the share of each language's distinct texts stands in the filter: texts aren't moved for it
     share = F.lit(0.0)
     for name, n in counts.items():
         share = F.when(F.col("lang") == name, F.lit(min(1.0, 4.0 * texts / n))).otherwise(share)
-    order = F.xxhash64("text")
     drawn = rows.where((F.pmod(order, F.lit(1 << 20)) / F.lit(float(1 << 20))) < share)
-    drawn = drawn.select("lang", F.substring("text", 1, TEXT_SHARE).alias("data"), order.alias("h")).dropDuplicates(["lang", "h"])
+    drawn = drawn.select("lang", _piece("text").alias("data"), order.alias("h")).dropDuplicates(["lang", "h"])
     ranked = drawn.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= texts)
     out: dict[str, bytearray] = {n: bytearray() for n in counts}
     for r in ranked.orderBy("lang", F.desc("r")).toLocalIterator():

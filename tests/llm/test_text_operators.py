@@ -266,6 +266,15 @@ def test_language_id(spark):
     assert none.where("lang_pred = 'und'").count() == 42
 
 
+def test_dictionaries_of_copies_and_banners(spark):
+    rows = [("de", "immer derselbe text")] * 4000 + [("de", f"verschieden {chr(97 + i)}wort") for i in range(20)]
+    rows += [("fr", "banner " * 300 + "contenu " * 900 + chr(97 + i)) for i in range(20)]
+    train = spark.createDataFrame(rows, "lang string, text string")
+    got = language_id.learn_dictionaries(train, texts=20)
+    assert got["de"].count(b"verschieden") >= 15 and got["de"].count(b"immer") <= 1
+    assert got["fr"].count(b"contenu") > got["fr"].count(b"banner")
+
+
 def test_recurrent_gradients_and_proper_distribution():
     rng = np.random.default_rng(1)
     top = [(b"aa", 9), (b"bb", 7), (recurrent_lm.END, 6), (b"cc,", 2), (b"d1", 1)]
