@@ -196,19 +196,36 @@ def fit_ensemble(x: np.ndarray, y: np.ndarray, trees: int = 40, penalty: float =
     return RuleEnsemble(b - float(z.mean(axis=0) @ w), tuple(kept))
 
 
-def learn_quality(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> RuleEnsemble:
-    """Fit on measured rows that have a label; ``max_rows`` bounds the sample.
+def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", label: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """lab_key, lab_y of at most ``max_rows`` labelled keys of ``docs``, the first by hash.
 
-    The sample is the first rows in order of a hash of the key and does not depend
-    on partitioning.  Several labels of one key count as their rounded mean; null
-    labels and null keys are not learnt from.
+    The labelled keys are counted first; a hash threshold from that count lets some more
+    than ``max_rows`` of them through, so that ordering them moves a bounded number.
+    The sample does not depend on partitioning.  Several labels of one key count as
+    their rounded mean; null labels and null keys are not learnt from.
     """
-    marks = labels.select(F.col(key).alias("lab_key"), F.col(label).cast("double").alias("lab_y")).where("lab_key is not null and lab_y is not null")
+    marks = labels.where(train).select(F.col(key).alias("lab_key"), F.col(label).cast("double").alias("lab_y")).where("lab_key is not null and lab_y is not null")
     marks = marks.groupBy("lab_key").agg((F.avg("lab_y") >= 0.5).cast("double").alias("lab_y"))
-    rows = stats.join(marks, stats[key] == marks["lab_key"]).select("lab_key", "lab_y", *(f"s_{s}" for s in STATS))
+    marks = durable(marks.join(docs.select(F.col(key).alias("lab_key")).distinct(), "lab_key", "left_semi"), "labelled-keys")
     order = F.xxhash64(F.col("lab_key").cast("string"))
-    picked = rows.orderBy(order, "lab_key", *(f"s_{s}" for s in STATS)).limit(max_rows).collect()
-    data = np.array([r[1:] for r in picked], np.float64).reshape(-1, len(STATS) + 1)
+    share = min(1.0, (1.1 * max_rows + 1000) / max(1, marks.count()))
+    few = marks.where(F.pmod(order, F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    return few.orderBy(F.pmod(order, F.lit(1 << 30)), "lab_key").limit(max_rows)
+
+
+def learn_quality(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> RuleEnsemble:
+    """Fit on the whole texts of a bounded sample of labelled keys.
+
+    Only texts of sampled keys are measured.  Of the rows of a repeated key the one with
+    the smallest statistics counts, so a key is one row however many copies it has.
+    """
+    sample = labelled_sample(docs, labels, train, key, label, max_rows)
+    few = docs.sparkSession.createDataFrame(sample.collect(), sample.schema)
+    texts = docs.select(F.col(key).alias("lab_key"), F.col(text).alias("lab_text")).join(F.broadcast(few.select("lab_key")), "lab_key", "left_semi")
+    values = F.struct(*(F.col(f"s_{s}") for s in STATS))
+    measured = measure(texts, "lab_key", "lab_text").groupBy("lab_key").agg(F.min(values).alias("v"))
+    picked = measured.join(F.broadcast(few), "lab_key").orderBy("lab_key").select("lab_y", "v.*").collect()
+    data = np.array([tuple(r) for r in picked], np.float64).reshape(-1, len(STATS) + 1)
     return fit_ensemble(data[:, 1:], data[:, 0])
 
 
@@ -220,9 +237,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, train: Column, key: str =
     """Score every row; learn from labelled rows where ``train`` (of the key) holds.
 
     Returns key, ``keep``, the statistics and ``score``.  Null and empty texts are
-    scored like any other (all statistics are zero).  Texts are read once: their
-    statistics go to a durable table that the learner and the scorer share.
+    scored like any other (all statistics are zero).  Scoring is one pass over the
+    texts; the learner reads those of its bounded sample only, and nothing of the
+    documents is written in between.
     """
-    stats = durable(measure(docs, key, text, keep), "quality-statistics")
-    model = learn_quality(stats.where(train), labels, key, label)
-    return stats.withColumn("score", model.score())
+    model = learn_quality(docs, labels, train, key, text, label)
+    return measure(docs, key, text, keep).withColumn("score", model.score())
