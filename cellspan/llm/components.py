@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 from .common import drop_durable, durable
 
+#: A node with more than this share of all edge ends is met by a broadcast.
+HUB_SHARE = 1 / 1000
+
+
+def _with_least(ends: DataFrame, least: DataFrame, edge_count: int) -> DataFrame:
+    """``ends`` with ``m`` of their node.  Hubs are few, 2 / HUB_SHARE at most, and are
+    broadcast; the other nodes have so few ends that none makes a large task."""
+    limit = max(100, int(edge_count * HUB_SHARE))
+    hubs = least.where(F.col("degree") > limit).select("u", "m")
+    near = ends.join(F.broadcast(hubs), "u", "left")
+    rest = near.where("m is null").drop("m").join(least.where(F.col("degree") <= limit).select("u", "m"), "u")
+    return near.where("m is not null").unionByName(rest)
+
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, comp) for every node of ``edges(a, b)``; comp is the smallest node reached.
@@ -17,19 +30,19 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     diameter.  Every round is a written table, so lineage stays short.
     """
     both = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before = durable(both, label), None
+    now = durable(both, label)
+    mark = lambda d: d.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+    before = mark(now)
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
-    while True:
+    while before[0]:
+        edge_count = before[0]
         ends = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = ends.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
+        large = _with_least(ends, least, edge_count).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: every node links its smaller neighbours and itself to the least
         mins = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(mins, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after = durable(small, label)
-        mark = lambda d: d.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if before is None:
-            before = mark(now)
         state = mark(after)
         drop_durable(now)
         now = after

@@ -37,6 +37,8 @@ SAMPLE_ONE_IN = 32
 #: Classes that a task searches together, and their shingles.
 BLOCK_CLASSES = 2000
 BLOCK_SHINGLES = 2_000_000
+#: Groups cut into blocks that are broadcast at most (16 bytes each).
+CUT_GROUPS = 1 << 20
 PIVOTS = 4
 #: Long lists that are probed before hopeless candidates are dropped.
 PROBES = 128
@@ -415,6 +417,22 @@ def _kin(sized: DataFrame, entries: DataFrame, block: int) -> DataFrame:
     return near.join(heavy, "kin", "left_anti").select("cid", "kin")
 
 
+def _with_parts(sets: DataFrame, cut: DataFrame) -> DataFrame:
+    """``sets`` with the parts of their group, 1 where ``cut`` (grp, parts) has no row.
+
+    A cut group holds a block of classes and more, so there are few.  They are broadcast
+    as long as their counted number allows it; beyond, both sides are dealt over salts,
+    so that a giant group is no single task.
+    """
+    if cut.count() <= CUT_GROUPS:
+        out = sets.join(F.broadcast(cut), "grp", "left")
+    else:
+        wide = cut.agg(F.least(F.max("parts"), F.lit(1024))).first()[0]
+        salted = cut.select("grp", "parts", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("salt"))
+        out = sets.withColumn("salt", F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(wide)).cast("int")).join(salted, ["grp", "salt"], "left").drop("salt")
+    return out.withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+
 def _links(sets: DataFrame, entries: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """(a, b): links between classes that connect all that links connect."""
     sized = sets.select("cid", "grp", (F.octet_length("shingles") / 8).cast("long").alias("n"))
@@ -422,7 +440,7 @@ def _links(sets: DataFrame, entries: DataFrame, num: int, den: int, block: int)
     parts = F.ceil(F.greatest(F.col("members") / F.lit(float(block)), F.col("mass") / F.lit(float(BLOCK_SHINGLES)))).cast("int")
     groups = durable(groups.select("grp", parts.alias("parts")), "group-sizes")
     kin = _kin(sized.join(groups.where("parts > 1"), "grp", "left_semi"), entries, block)
-    placed = sets.join(groups, "grp").join(kin, "cid", "left")
+    placed = _with_parts(sets, groups.where("parts > 1")).join(kin, "cid", "left")
     placed = placed.withColumn("part", F.pmod(F.xxhash64(F.coalesce("kin", "cid")), F.col("parts")).cast("int")).drop("kin")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
