@@ -40,8 +40,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of documents connected by a similarity of 0.8 on five-word shingles the one with
     the smallest key stays (of repeated rows one of them); those without words stay."""
     ship_package(spark)
-    numbered = durable(docs.select(F.struct(*docs.columns).alias("doc"), F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row")).alias("key"), F.col("text")), "numbered-documents")
-    found = jaccard_components(numbered, key="key", k=5, num=80, den=100)
+    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row"))
+    numbered = durable(docs.select(F.struct(*docs.columns).alias("doc"), key.alias("key")), "numbered-documents")
+    found = jaccard_components(numbered.select("key", F.col("doc.text").alias("text")), key="key", k=5, num=80, den=100)
     stay = found.where("key = component").select("key.row")
     return numbered.select("doc", "key.row").join(stay, "row", "left_semi").select("doc.*")
 
