@@ -1,11 +1,14 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Counts per text come from array functions on its words and lines.  For every rule
-(a rate that is high in poor text) and every stratum, a fixed grid of cutoffs is
-tested on labelled rows: a cutoff may be used where the exact binomial tail shows
-that it falsely rejects at most ``risk`` of the good rows, at a level divided by the
-number of tests (Bonferroni).  The lowest certified cutoff of each rule and stratum is
-applied; a rule without one is off in that stratum.
+Counts per text come from array functions on its words and lines.  The rates that are
+high in poor text each have a fixed grid of cutoffs.  What is certified is the whole
+verdict of a stratum: all rules together falsely reject at most ``risk`` of its good
+documents.  Every rule has an equal share of that rate, and of the level, which is also
+divided by the strata.  Of one rule and stratum the cutoffs are tested from the loosest
+down, each at the full level, up to the first whose exact binomial tail is too large
+(fixed-sequence testing): the last one that passes is applied; a rule without one is off
+in that stratum.  By the union bound all verdicts of all strata keep their rate at once
+with a probability of 1 - level.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ GRIDS: dict[str, tuple[float, ...]] = {
 
 @dataclass(frozen=True)
 class Risk:
-    """False rejections allowed among good rows, per rule and stratum, and the level."""
+    """False rejections allowed among the good documents of a stratum, by all rules
+    together, and the probability that any stratum has more."""
 
     rate: float = 0.01
     level: float = 0.05
@@ -105,15 +109,17 @@ def _log_gamma(x: Column) -> Column:
     return series - F.log(product)
 
 
-def binomial_tail(k: Column, n: Column, p: float, terms: int = 4096) -> Column:
+def binomial_tail(k: Column, n: Column, p: float) -> Column:
     """P(Binomial(n, p) <= k) for k < n p, summed down from k.
 
-    Beyond ``terms`` summands the rest is bounded by its geometric majorant, so the
-    value is exact or errs to the safe side.
+    Below the mean the summands fall at least as fast as a normal density does, so those
+    beyond ten standard deviations from k are under 1e-20 of the sum, whatever n is; a
+    geometric majorant stands for them.  A null count gives null.
     """
     k, n = k.cast("double"), n.cast("double")
     log_top = _log_gamma(n + 1) - _log_gamma(k + 1) - _log_gamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
-    steps = F.sequence(F.lit(0), F.least(k, F.lit(float(terms))).cast("int"))
+    far = F.ceil(10 * F.sqrt(n * (p * (1 - p)))) + 60
+    steps = F.sequence(F.lit(0), F.least(k, far.cast("double")).cast("int"))
 
     def add(acc: Column, j: Column) -> Column:
         i = k - j
@@ -127,31 +133,29 @@ def binomial_tail(k: Column, n: Column, p: float, terms: int = 4096) -> Column:
 def certified_cutoffs(measured: DataFrame, labels: DataFrame, key: str, stratum: str, label: str = "quality", risk: Risk = Risk(), grids: dict[str, tuple[float, ...]] = GRIDS) -> DataFrame:
     """stratum, rule, cutoff: the lowest certified cutoff of each rule and stratum.
 
-    Good rows are labelled rows that pass the base rules.  Counting is one partial
-    aggregation by stratum; a hot stratum is summed before it moves.  Several labels of
-    a key count as their rounded mean; null labels are left out; a null stratum is a
-    stratum of its own.
+    Good documents are labelled keys with rows that pass the base rules.  A key is one
+    trial in a stratum, however many rows it has: it counts as rejected if any of them is.
+    Counting is one partial aggregation by stratum; a hot stratum is summed before it
+    moves.  Several labels of a key count as their rounded mean; null labels and null keys
+    are left out; a null stratum is a stratum of its own.
     """
     marks = labels.select(F.col(key).alias("lab_key"), F.col(label).cast("double").alias("lab_y")).where("lab_key is not null and lab_y is not null")
     marks = marks.groupBy("lab_key").agg(F.avg("lab_y").alias("lab_y")).where("lab_y >= 0.5")
-    good = measured.where(~base_failed()).join(marks, measured[key] == marks["lab_key"], "left_semi")
     rate = rates()
+    able = measured.where(~base_failed()).select(F.col(key).alias("lab_key"), F.col(stratum).alias("stratum"), *(rate[r].alias(r) for r in grids))
+    good = able.join(marks, "lab_key", "left_semi").groupBy("lab_key", "stratum").agg(*(F.max(r).alias(r) for r in grids))
     cells = [(r, c) for r, grid in grids.items() for c in grid]
-    sums = good.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), *(F.sum((rate[r] > c).cast("long")).alias(f"c{i}") for i, (r, c) in enumerate(cells)))
+    sums = durable(good.groupBy("stratum").agg(F.count("*").alias("n"), *(F.sum((F.col(r) > c).cast("long")).alias(f"c{i}") for i, (r, c) in enumerate(cells))), "rule-sums")
+    strata = max(1, sums.count())
     tests = F.inline(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"c{i}").alias("k")) for i, (r, c) in enumerate(cells))))
-    table = sums.select("stratum", "n", F.count("*").over(_whole()).alias("strata"), tests)
-    level = F.lit(risk.level) / (F.col("strata") * F.lit(len(cells)))
-    ok = (F.col("k") < F.col("n") * risk.rate) & (binomial_tail(F.col("k"), F.col("n"), risk.rate) <= level)
+    table = sums.select("stratum", "n", tests)
+    allowed = risk.rate / len(grids)
+    # rejections only grow as a cutoff falls, so the cutoffs that pass are those before the
+    # first that fails
+    ok = (F.col("k") < F.col("n") * allowed) & (binomial_tail(F.col("k"), F.col("n"), allowed) <= risk.level / (strata * len(grids)))
     return table.where(ok).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
-def _whole():
-    from pyspark.sql import Window
-
-    # one row a stratum: a table of group sums
-    return Window.partitionBy(F.lit(0))
-
-
 def apply_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", keep: tuple[str, ...] = (), risk: Risk = Risk()) -> DataFrame:
     """Counts, ``base_failed``, ``failed_rules`` (names) and ``kept`` of every row.
 
