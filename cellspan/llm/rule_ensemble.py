@@ -127,13 +127,20 @@ def tree_rules(x: np.ndarray, target: np.ndarray, rng: np.random.Generator, dept
 def lasso_logistic(z: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, steps: int = 400) -> tuple[float, np.ndarray]:
     """Accelerated proximal gradient for the weighted logistic loss with an L1 penalty."""
     n, p = z.shape
+    z, share = z.astype(np.float32, copy=False), (weight / weight.sum()).astype(np.float32)
     b, w = 0.0, np.zeros(p)
     vb, v, t = b, w.copy(), 1.0
-    norm = np.linalg.norm(np.sqrt(weight)[:, None] * np.hstack([z, np.ones((n, 1))]), 2) ** 2 / 4 / weight.sum()
-    rate = 1.0 / max(norm, 1e-9)
+    # the largest curvature from the p x p products; the rows are never copied
+    gram = np.zeros((p + 1, p + 1))
+    for i in range(0, n, 1024):
+        part, at = z[i : i + 1024], share[i : i + 1024]
+        gram[:p, :p] += (part * at[:, None]).T @ part
+        gram[:p, p] += part.T @ at
+    gram[p, :p], gram[p, p] = gram[:p, p], 1.0
+    rate = 4.0 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-9)
     for _ in range(steps):
-        g = weight * (1 / (1 + np.exp(-np.clip(z @ v + vb, -30, 30))) - y) / weight.sum()
-        nb, nw = vb - rate * g.sum(), v - rate * (z.T @ g)
+        g = share * (1 / (1 + np.exp(-np.clip(z @ v.astype(np.float32) + vb, -30, 30))) - y).astype(np.float32)
+        nb, nw = vb - rate * float(g.sum(dtype=np.float64)), v - rate * (g @ z)
         nw = np.sign(nw) * np.maximum(np.abs(nw) - rate * penalty, 0)
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         vb, v = nb + (t - 1) / nt * (nb - b), nw + (t - 1) / nt * (nw - w)
@@ -188,12 +195,17 @@ def fit_ensemble(x: np.ndarray, y: np.ndarray, trees: int = 40, penalty: float =
     rules = list(found.values())
     if not rules:
         return RuleEnsemble(prior, ())
-    z = np.stack([r.values(x) for r in rules], axis=1).astype(np.float64)
-    scale = np.maximum(z.std(axis=0), 0.05)
-    b, w = lasso_logistic((z - z.mean(axis=0)) / scale, y, np.ones(n), penalty)
+    z = np.empty((n, len(rules)), np.float32)
+    for i, rule in enumerate(rules):
+        z[:, i] = rule.values(x)
+    mean = z.mean(axis=0, dtype=np.float64)
+    scale = np.maximum(np.sqrt(mean * (1 - mean)), 0.05)
+    z -= mean.astype(np.float32)
+    z /= scale.astype(np.float32)
+    b, w = lasso_logistic(z, y, np.ones(n), penalty)
     w = w / scale
     kept = [(r, float(c)) for r, c in zip(rules, w, strict=True) if abs(c) > 1e-6]
-    return RuleEnsemble(b - float(z.mean(axis=0) @ w), tuple(kept))
+    return RuleEnsemble(b - float(mean @ w), tuple(kept))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", label: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
