@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 #: Largest object that any operator ships to every task.
 BROADCAST_BYTES = 64 << 20
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -26,6 +28,9 @@ def ship_package(spark: SparkSession) -> None:
     A cluster whose machines don't share that folder gets it by ``--py-files``.
     """
     root = str(Path(__file__).resolve().parents[2])
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        # the default; whole texts are long, and a batch is held on both sides
+        spark.conf.set(BATCH_ROWS, "1000")
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
@@ -82,7 +87,8 @@ def crc_mod(key: Column | str, n: int) -> Column:
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each piece holds about ``limit`` bytes of text.
 
-    A row is never cut: one text above the limit travels alone.
+    A row is never cut: one text above the limit travels alone.  After the last batch the
+    worker, which other tasks will use again, gives the memory it has freed back.
     """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
@@ -94,6 +100,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             held += n
         if start < len(sizes):
             yield batch.slice(start)
+        del batch
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def int_lists(parts: list) -> pa.Array:

@@ -510,10 +510,13 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model(model_path)
         gc.disable()  # the tables hold no cycles, and walking them costs more than the work
-        for piece in slices(batches, limit=1 << 20):
-            done = model.encode_all(piece.column("text").to_pylist())
-            columns = [int_lists([d[i] for d in done]) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([piece.column("key"), *columns, pa.array([d[3] for d in done], pa.string())], ["key", "ids", "begins", "ends", "decoded"])
+        try:
+            for piece in slices(batches, limit=1 << 20):
+                done = model.encode_all(piece.column("text").to_pylist())
+                columns = [int_lists([d[i] for d in done]) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([piece.column("key"), *columns, pa.array([d[3] for d in done], pa.string())], ["key", "ids", "begins", "ends", "decoded"])
+        finally:
+            gc.enable()  # the worker goes on to other tasks
 
     out = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, {fields}")
     return out.withColumnRenamed("key", key)
