@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
+#: Strata whose cutoffs are broadcast at most (under 100 bytes each).
+MAX_STRATA = 100_000
 SPACES = " \\x09-\\x0D"
 #: Rates that rules bound, each with its fixed grid of cutoffs.
 GRIDS: dict[str, tuple[float, ...]] = {
@@ -78,15 +80,16 @@ def measure_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", keep
     words = F.filter(F.split(t, f"[{SPACES}]+"), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.ltrim(F.translate(x, "\t\x0b\x0c\r", "    "))) > 0)
 
+    upper = F.length(t) - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    symbols = F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))
+
     def counts(w: Column) -> Column:
         chars = F.aggregate(w, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
-        return F.struct(F.size(w).cast("long").alias("n_words"), chars.alias("word_chars"), _repeated(w, window).alias("n_repeat_words"))
+        of_lines = _let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.size(x).cast("long").alias("all")))
+        return _let(of_lines, lambda x: F.struct(F.size(w).cast("long").alias("n_words"), chars.alias("word_chars"), symbols.cast("long").alias("n_symbols"), x["dup"].alias("n_dup_lines"), _repeated(w, window).alias("n_repeat_words"), upper.cast("long").alias("n_upper"), x["all"].alias("n_lines")))
 
-    upper = F.length(t) - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    symbols = F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))
-    dup = _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    out = docs.select(F.col(key), *(F.col(c) for c in keep), _let(words, counts).alias("w"), symbols.cast("long").alias("n_symbols"), dup.alias("n_dup_lines"), upper.cast("long").alias("n_upper"), _let(lines, F.size).cast("long").alias("n_lines"))
-    return out.select(key, *keep, "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "n_upper", "n_lines")
+    # a generator of one row: no later filter or projection counts anything again
+    return docs.select(F.col(key), *(F.col(c) for c in keep), F.inline(F.array(_let(words, counts))))
 
 
 def base_failed() -> Column:
@@ -130,6 +133,12 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.least(F.lit(1.0), F.exp(log_top) * _let(done, lambda d: d["sum"] + d["term"] / (1 - ratio)))
 
 
+def good_keys(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """lab_key: distinct keys whose labels are good on average."""
+    marks = labels.select(F.col(key).alias("lab_key"), F.col(label).cast("double").alias("lab_y")).where("lab_key is not null and lab_y is not null")
+    return marks.groupBy("lab_key").agg(F.avg("lab_y").alias("lab_y")).where("lab_y >= 0.5").select("lab_key")
+
+
 def certified_cutoffs(measured: DataFrame, labels: DataFrame, key: str, stratum: str, label: str = "quality", risk: Risk = Risk(), grids: dict[str, tuple[float, ...]] = GRIDS) -> DataFrame:
     """stratum, rule, cutoff: the lowest certified cutoff of each rule and stratum.
 
@@ -139,11 +148,9 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, key: str, stratum:
     moves.  Several labels of a key count as their rounded mean; null labels and null keys
     are left out; a null stratum is a stratum of its own.
     """
-    marks = labels.select(F.col(key).alias("lab_key"), F.col(label).cast("double").alias("lab_y")).where("lab_key is not null and lab_y is not null")
-    marks = marks.groupBy("lab_key").agg(F.avg("lab_y").alias("lab_y")).where("lab_y >= 0.5")
     rate = rates()
     able = measured.where(~base_failed()).select(F.col(key).alias("lab_key"), F.col(stratum).alias("stratum"), *(rate[r].alias(r) for r in grids))
-    good = able.join(marks, "lab_key", "left_semi").groupBy("lab_key", "stratum").agg(*(F.max(r).alias(r) for r in grids))
+    good = able.join(good_keys(labels, key, label), "lab_key", "left_semi").groupBy("lab_key", "stratum").agg(*(F.max(r).alias(r) for r in grids))
     cells = [(r, c) for r, grid in grids.items() for c in grid]
     sums = durable(good.groupBy("stratum").agg(F.count("*").alias("n"), *(F.sum((F.col(r) > c).cast("long")).alias(f"c{i}") for i, (r, c) in enumerate(cells))), "rule-sums")
     strata = max(1, sums.count())
@@ -159,15 +166,24 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, key: str, stratum:
 def apply_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", keep: tuple[str, ...] = (), risk: Risk = Risk()) -> DataFrame:
     """Counts, ``base_failed``, ``failed_rules`` (names) and ``kept`` of every row.
 
-    Texts are measured once into a durable table.  The certified cutoffs are pivoted
-    to one row a stratum before the join, so the join never multiplies rows.
+    Without ``keep``, texts are measured once into a table of counts that the thresholds
+    and the verdicts share.  With ``keep``, the table would hold copies of the rows: the
+    counts are taken twice instead, for the thresholds and for the verdicts, and nothing of
+    the documents is written or moved.  The certified cutoffs are pivoted to one row
+    a stratum before the join, so the join never multiplies rows.
     """
     columns = tuple(dict.fromkeys((stratum, *keep)))
-    measured = durable(measure_rules(docs, key, text, columns), "rule-counts")
-    cut = certified_cutoffs(measured, labels, key, stratum, risk=risk)
+    if keep:
+        measured = measure_rules(docs, key, text, columns)
+        learn = measure_rules(docs, key, text, (stratum,))
+    else:
+        measured = learn = durable(measure_rules(docs, key, text, columns), "rule-counts")
+    cut = certified_cutoffs(learn, labels, key, stratum, risk=risk)
     wide = durable(cut.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in GRIDS)), "cutoffs")
-    joined = measured.join(wide, measured[stratum].eqNullSafe(wide["stratum"]), "left")
     rate = rates()
+    # one row a stratum: sent to all tasks as long as the counted rows allow it
+    few = F.broadcast(wide) if wide.count() <= MAX_STRATA else wide
+    joined = measured.join(few, measured[stratum].eqNullSafe(wide["stratum"]), "left")
     failed = F.filter(F.array(*(F.when(rate[r] > F.col(f"cut_{r}"), F.lit(r)) for r in GRIDS)), lambda x: x.isNotNull())
     out = joined.select(*measured.columns, base_failed().alias("base_failed"), failed.alias("failed_rules"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
