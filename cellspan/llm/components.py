@@ -11,14 +11,16 @@ from .common import drop_durable, durable
 HUB_SHARE = 1 / 1000
 
 
-def _with_least(ends: DataFrame, least: DataFrame, edge_count: int) -> DataFrame:
-    """``ends`` with ``m`` of their node.  Hubs are few, 2 / HUB_SHARE at most, and are
-    broadcast; the other nodes have so few ends that none makes a large task."""
-    limit = max(100, int(edge_count * HUB_SHARE))
-    hubs = least.where(F.col("degree") > limit).select("u", "m")
-    near = ends.join(F.broadcast(hubs), "u", "left")
-    rest = near.where("m is null").drop("m").join(least.where(F.col("degree") <= limit).select("u", "m"), "u")
-    return near.where("m is not null").unionByName(rest)
+def join_hubs(rows: DataFrame, groups: DataFrame, key: str, value: str, total: int) -> DataFrame:
+    """``rows`` with the ``value`` that ``groups(key, value, degree)`` has for their key.
+
+    ``total``: the number of rows.  Keys with more than ``HUB_SHARE`` of them are few,
+    1 / HUB_SHARE at most, and are broadcast; of the other keys none makes a large task.
+    """
+    limit = max(100, int(total * HUB_SHARE))
+    near = rows.join(F.broadcast(groups.where(F.col("degree") > limit).select(key, value)), key, "left")
+    rest = near.where(F.col(value).isNull()).drop(value).join(groups.where(F.col("degree") <= limit).select(key, value), key, "left")
+    return near.where(F.col(value).isNotNull()).unionByName(rest)
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -38,7 +40,7 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
         edge_count = before[0]
         ends = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
-        large = _with_least(ends, least, edge_count).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_hubs(ends, least, "u", "m", 2 * edge_count).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: every node links its smaller neighbours and itself to the least
         mins = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(mins, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()

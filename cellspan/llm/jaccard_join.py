@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_durable, durable, slices
-from .components import connected_components
+from .components import connected_components, join_hubs
 
 #: Bits of the table that says which classes are in a candidate group (2 MB).
 BITS = 1 << 24
@@ -249,8 +249,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     drop_durable(shared_lists)
     found = connected_components(links, "links").select(F.col("node").alias("sig"), "comp")
     classes = marked.where("n_shingles > 0").groupBy("sig").agg(F.min("key").alias("least"))
-    named = classes.join(found, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    named = named.join(named.groupBy("comp").agg(F.min("least").alias("component")), "comp").select("sig", "component")
+    named = durable(classes.join(found, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "class-components")
+    components = named.groupBy("comp").agg(F.min("least").alias("component"), F.count("*").alias("degree"))
+    named = join_hubs(named, components, "comp", "component", named.count()).select("sig", "component")
     out = marked.select("key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sig")).alias("sig")).join(named, "sig", "left")
     return out.select(F.col("key").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
 
@@ -410,8 +411,9 @@ def _kin(sized: DataFrame, entries: DataFrame, block: int) -> DataFrame:
     The kin of a class is the leader of most of its lists.  Kin above an eighth of a
     block have no row: their classes are dealt one by one.
     """
-    shares = entries.join(sized, "cid").groupBy("cid", "n", "leader").agg(F.count("*").alias("c"))
-    near = durable(shares.groupBy("cid", "n").agg(F.max_by("leader", F.struct("c", "leader")).alias("kin")), "kin")
+    shares = entries.groupBy("cid", "leader").agg(F.count("*").alias("c"))
+    most = shares.groupBy("cid").agg(F.max_by("leader", F.struct("c", "leader")).alias("kin"))
+    near = durable(most.join(sized.select("cid", "n"), "cid"), "kin")
     large = (F.count("*") > F.lit(block / 8)) | (F.sum("n") > F.lit(BLOCK_SHINGLES / 8))
     heavy = durable(near.groupBy("kin").agg(large.alias("large")).where("large").select("kin"), "heavy-kin")
     return near.join(heavy, "kin", "left_anti").select("cid", "kin")
@@ -439,9 +441,9 @@ def _links(sets: DataFrame, entries: DataFrame, num: int, den: int, block: int)
     groups = sized.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("mass"))
     parts = F.ceil(F.greatest(F.col("members") / F.lit(float(block)), F.col("mass") / F.lit(float(BLOCK_SHINGLES)))).cast("int")
     groups = durable(groups.select("grp", parts.alias("parts")), "group-sizes")
-    kin = _kin(sized.join(groups.where("parts > 1"), "grp", "left_semi"), entries, block)
-    placed = _with_parts(sets, groups.where("parts > 1")).join(kin, "cid", "left")
-    placed = placed.withColumn("part", F.pmod(F.xxhash64(F.coalesce("kin", "cid")), F.col("parts")).cast("int")).drop("kin")
+    place = _with_parts(sized, groups.where("parts > 1")).join(_kin(sized, entries, block), "cid", "left")
+    place = durable(place.select("cid", "grp", "parts", F.pmod(F.xxhash64(F.coalesce("kin", "cid")), F.col("parts")).cast("int").alias("part")), "places")
+    placed = sets.drop("grp").join(place, "cid")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by task; a task's sets are searched when the next begins."""
@@ -490,10 +492,10 @@ def _links(sets: DataFrame, entries: DataFrame, num: int, den: int, block: int)
     main = weight.groupBy("grp").agg(F.max_by("comp", F.struct("w", "comp")).alias("main"))
     # classes outside the largest component ask the other blocks of which the lists meet
     # as many of their entries as a link needs; a block takes its visitors in shards
-    place = tagged.select("cid", "grp", "part", "comp")
-    asking = place.join(main, "grp").where("comp <> main").select("cid", "grp", "part")
-    lists = entries.join(place, "cid").select("h", "grp", F.col("part").alias("to")).distinct()
-    asks = entries.join(asking, "cid").select("h", "grp", "cid", "part", "least")
+    asking = tagged.select("cid", "grp", "comp").join(main, "grp").where("comp <> main").select("cid")
+    ours = durable(entries.join(place, "cid").select("h", "grp", "cid", "part", "least", "parts"), "placed-entries").where("parts > 1")
+    lists = ours.select("h", "grp", F.col("part").alias("to")).distinct()
+    asks = ours.join(asking, "cid", "left_semi").select("h", "grp", "cid", "part", "least")
     met = asks.join(lists, ["h", "grp"]).where("to <> part").groupBy("grp", "to", "cid", "least").agg(F.count("*").alias("c"))
     met = durable(met.where("c >= least").select("grp", "to", "cid"), "visits")
     visited = met.groupBy("grp", "to").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("shards"))
@@ -504,6 +506,6 @@ def _links(sets: DataFrame, entries: DataFrame, num: int, den: int, block: int)
     across = visits.withColumn("query", F.lit(True)).unionByName(homes.withColumn("query", F.lit(False)))
     across = across.select(F.struct("grp", F.col("to").alias("part"), F.col("shard").alias("other")).alias("task"), "sig", "shingles", "query")
     across = durable(run(across), "links-across")
-    drop_durable(tagged)
-    drop_durable(met)
+    for done in (tagged, met, ours):
+        drop_durable(done)
     return links.unionByName(across)
