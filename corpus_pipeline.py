@@ -40,11 +40,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of documents connected by a similarity of 0.8 on five-word shingles the one with
     the smallest key stays (of repeated rows one of them); those without words stay."""
     ship_package(spark)
-    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row"))
-    numbered = durable(docs.select(F.struct(*docs.columns).alias("doc"), key.alias("key")), "numbered-documents")
-    found = jaccard_components(numbered.select("key", F.col("doc.text").alias("text")), key="key", k=5, num=80, den=100)
-    stay = found.where("key = component").select("key.row")
-    return numbered.select("doc", "key.row").join(stay, "row", "left_semi").select("doc.*")
+    # no key and no row number is needed: a row is known by its key and a hash of all it holds
+    name = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.xxhash64(*docs.columns).alias("h"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), name.alias("key"))
+    found = jaccard_components(docs.select(name.alias("key"), "text"), key="key", k=5, num=80, den=100)
+    stay = durable(found.where("key = component").groupBy("key").agg(F.count("*").alias("rows")), "kept-documents")
+    once = rows.join(stay.where("rows = 1"), "key", "left_semi")
+    many = stay.where("rows > 1").select("key")
+    if many.take(1):
+        once = once.unionByName(rows.join(many, "key", "left_semi").dropDuplicates(["key"]))
+    return once.select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
