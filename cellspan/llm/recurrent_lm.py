@@ -1,56 +1,57 @@
 """Language model scores: a gated recurrent network with a class-factored softmax.
 
-Every token (a word, or the end of a text) belongs to a class.  The network gives the
-class from its state; within the classes of the short list it also gives the word,
-within the open classes, which divide all other words by their form, the word follows
-its smoothed count in the whole training corpus.  The probabilities of all words of
-an open class and of one unseen form sum to one, so the score is a proper log
-probability of a whole text.
-
-Training is truncated backpropagation in numpy, as local steps on every partition of
-the training texts with the parameters averaged after each round.  The state is
-carried over window borders in training and in scoring, and a score covers the
-complete text whatever its length.
+Every token (a word, or the end of a text) belongs to a class, and the network gives the
+class from its state.  Classes of the short list, of about equal root mass, also give
+the word from the state.  All other words, seen or not, lie in open classes: intervals
+of the reversed spelling, learnt so that each holds about an equal share of the counted
+words; there the word follows its smoothed count in the whole training corpus.  The
+probabilities of all words of an open class and of one unseen word sum to one, so the
+score is a proper log probability of a whole text.
+
+The recurrence is h' = z h + (1 - z) n, with the gate z and the candidate n of the word
+that is read.  It is linear in h, so the states of many windows are found at once and
+then joined in order: a text's state goes through all of it, whatever its length.
+
+Training is truncated backpropagation in numpy on all training texts, as local steps on
+every partition with the parameters averaged after each round.  The state is carried
+over window borders, gradients stop there.
 """
 
 from __future__ import annotations
 
 import gc
 import pickle
-import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, slices
 
 END = b"\n"
-HIDDEN = 20
+HIDDEN = 32
 SHORT_LIST = 2048
 SHORT_CLASSES = 32
+OPEN_CLASSES = 48
 #: Words whose counts go to every task; all others get theirs by a join.
 KNOWN_WORDS = 1 << 16
-#: Share of the training texts that gradient steps are taken on: all of them.
-TRAIN_SHARE = 1.0
 ROUNDS = 2
-WINDOW = 24
-STREAMS = 48
+#: Tokens of a window, and streams that windows are taken from side by side.
+WINDOW = 32
+STREAMS = 256
+#: Tokens that are scored together.
+BLOCK = 1 << 15
 TALLY = 200_000
+#: Parts of the parameters, and groups of partitions, that are summed each in a task.
+PARTS, FAN_IN = 16, 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Forms of words outside the short list: the open classes.  The last takes the rest.
-_FORMS = (
-    rb"^[^a-z\x80-\xff]+$", rb"[0-9]", rb"[#*$%&|<>]+$", rb"!!$", rb"[\xc3][\xa4\xb6\xbc\x9f\x84\x96\x9c].*[,.]$", rb"[\xc3][\xa4\xb6\xbc\x9f\x84\x96\x9c]", rb"[\xc3][\xb3\xb1\xad\xa1\xba].*[,.]$", rb"[\xc3][\xb3\xb1\xad\xa1\xba]",
-    rb"[\xc3][\xa9\xa8\xaa\xa7\xa0\xae\xb4].*[,.]$", rb"[\xc3][\xa9\xa8\xaa\xa7\xa0\xae\xb4]", rb"[\x80-\xff]", rb"th.*[,.]$", rb"(?:eau|eux|oi|que|ent|aux|ion|ou).*[,.]$", rb"(?:sch|ung|heit|keit|lich|pf|tz).*[,.]$", rb"[,.]$",
-    rb"(?:sch|ung|heit|keit|lich|pf|tz)", rb"(?:eau|eux|oi|que|aux|vi|pa|ier)", rb"(?:sh|th|wh|ly|ing)", rb"(?:ado|oso|ci|rr|ll|ja)", rb"[ou]$", rb"^.{1,4}$",
-)
-OPEN_CLASSES = len(_FORMS) + 1
-#: One look at a word: the empty group that is set tells the first form that fits.
-_FORM = re.compile(rb"(?s)^(?:" + b"|".join(rb"(?=.*?(?:" + p + rb"))()" for p in _FORMS) + rb"|())")
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -60,10 +61,6 @@ def tokens_of(text: str | None) -> list[bytes]:
     return words
 
 
-def form_of(word: bytes) -> int:
-    return _FORM.match(word).lastindex - 1
-
-
 def count_words(rows: DataFrame, text: str = "text") -> DataFrame:
     """word (binary), c: counts of all tokens of all rows.
 
@@ -92,248 +89,277 @@ def count_words(rows: DataFrame, text: str = "text") -> DataFrame:
 # -- the network -----------------------------------------------------------------
 @dataclass
 class Lexicon:
-    """Short-listed words by class, counts of the known words, sizes of open classes."""
+    """Known words in order of class: first those of the short list, then the others.
+
+    ``known`` gives a word's number; ``cls``, ``inputs`` and ``counts`` go by number.
+    A number below ``listed`` is also the word's column in the output.
+    """
 
-    short: dict[bytes, tuple[int, int]]
-    sizes: list[int]
     known: dict[bytes, int]
+    counts: np.ndarray
+    cls: np.ndarray
+    #: first number of every short class, and the end of the last
+    starts: np.ndarray
+    #: reversed spellings at which open classes after the first begin
+    borders: list[bytes]
     total: int
     distinct: int
-    open_total: list[int]
-    open_distinct: list[int]
-    biases: tuple[np.ndarray, np.ndarray]
-    #: word -> (input, class, slot in class, count, log10 of the count part)
+    open_total: np.ndarray
+    open_distinct: np.ndarray
     cache: dict = field(default_factory=dict, repr=False)
-    codes: dict = field(default_factory=dict, repr=False)
-
-    @classmethod
-    def build(cls, top: list[tuple[bytes, int]], total: int, distinct: int, forms: dict[int, tuple[int, int]], short_list: int, classes: int) -> Lexicon:
-        ranked = sorted(top, key=lambda x: (-x[1], x[0]))
-        listed = [x for x in ranked[:short_list]]
-        # classes of about equal root mass, the frequent words first
-        mass = np.sqrt(np.array([c for _, c in listed], float)) if listed else np.zeros(0)
-        share = (np.cumsum(mass) - mass) / max(mass.sum(), 1e-9)
-        group = np.minimum((share * classes).astype(int), classes - 1)
-        short, sizes, counts = {}, [0] * classes, [[] for _ in range(classes)]
-        for (w, c), g in zip(listed, group.tolist(), strict=True):
-            short[w] = g, sizes[g]
-            sizes[g] += 1
-            counts[g].append(c)
-        width = max([1, *sizes])
-        words = np.full((classes, width), -30.0)
-        for g, cs in enumerate(counts):
-            if cs:
-                words[g, : len(cs)] = np.log(np.array(cs) + 0.5)
-        n, v = [0] * OPEN_CLASSES, [0] * OPEN_CLASSES
-        for f, (t, d) in forms.items():
-            n[f], v[f] = t, d
-        for w, c in listed:
-            f = form_of(w)
-            n[f] -= c
-            v[f] -= 1
-        mass_of = np.array([sum(cs) for cs in counts] + n, float)
-        return cls(short, sizes, dict(ranked), total, distinct, n, v, (np.log(mass_of + 1.0), words))
-
-    def look(self, word: bytes) -> tuple[int, int, int, int]:
-        """(input row, class, slot or -1, known count or -1)."""
-        hit = self.cache.get(word)
-        if hit is None:
-            at = self.short.get(word)
-            n = len(self.sizes)
-            if at:
-                hit = sum(self.sizes[: at[0]]) + at[1], at[0], at[1], self.known[word]
-            else:
-                f = form_of(word)
-                hit = sum(self.sizes) + f, n + f, -1, self.known.get(word, -1)
-            if len(self.cache) > 300_000:
-                self.cache = {}
-            self.cache[word] = hit
-        return hit
-
-    def code(self, word: bytes) -> int:
-        """Input row, class and slot + 1 of a word in one number."""
-        x, cls, slot, _ = self.look(word)
-        if len(self.codes) > 300_000:
-            self.codes.clear()
-        n = self.codes[word] = x << 32 | cls << 16 | slot + 1
-        return n
+
+    @property
+    def listed(self) -> int:
+        return int(self.starts[-1])
+
+    @property
+    def short_classes(self) -> int:
+        return len(self.starts) - 1
+
+    def open_class(self, word: bytes) -> int:
+        return open_class(word, self.borders)
 
     @property
     def base_denominator(self) -> float:
         return float(np.log10(self.total + self.distinct + 1.0))
 
     def open_denominators(self) -> np.ndarray:
-        return np.log10(np.array(self.open_total) + np.array(self.open_distinct) + 1.0)
+        return np.log10(self.open_total + self.open_distinct + 1.0)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of words; -1 - (open class) for a word that isn't known."""
+        out = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        for i in np.flatnonzero(out < 0).tolist():
+            out[i] = -1 - self.open_class(words[i])
+        return out
+
+    def classes(self, numbers: np.ndarray) -> np.ndarray:
+        """Class of every token; open classes come after the short ones."""
+        return np.where(numbers >= 0, self.cls[numbers], self.short_classes - 1 - numbers)
+
+    def inputs(self, numbers: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Row of the input table: a short word has its own, others that of their class."""
+        return np.where((numbers >= 0) & (numbers < self.listed), numbers, self.listed - self.short_classes + classes)
+
+
+def open_class(word: bytes, borders: list[bytes]) -> int:
+    """The interval of the reversed spelling that a word lies in, known or not."""
+    return bisect_right(borders, word[::-1])
+
+
+def open_borders(words: list[tuple[bytes, int]], classes: int) -> list[bytes]:
+    """Reversed spellings that cut the words into intervals of about equal counts."""
+    ranked = sorted((w[::-1], c) for w, c in words)
+    total, out, held = sum(c for _, c in words), [], 0
+    for w, c in ranked:
+        if held * classes >= total * (len(out) + 1):
+            out.append(w)
+        held += c
+    return out[: classes - 1]
+
+
+def build_lexicon(top: list[tuple[bytes, int]], total: int, distinct: int, sums, short_list: int = SHORT_LIST, classes: int = SHORT_CLASSES, open_classes: int = OPEN_CLASSES) -> Lexicon:
+    """From the known words and ``sums(borders)``: counts and words by open class, of all words."""
+    ranked = sorted(top, key=lambda x: (-x[1], x[0]))
+    listed, others = ranked[:short_list], ranked[short_list:]
+    # classes of about equal root mass, the frequent words first
+    mass = np.sqrt(np.array([c for _, c in listed], float))
+    share = (np.cumsum(mass) - mass) / max(mass.sum(), 1e-9)
+    group = np.minimum((share * classes).astype(int), classes - 1)
+    starts = np.searchsorted(group, np.arange(classes + 1))
+    borders = open_borders(others, open_classes)
+    n, v = (np.zeros(len(borders) + 1) for _ in range(2))
+    for f, (t, d) in sums(borders).items():
+        n[f], v[f] = t, d
+    for w, c in listed:
+        f = open_class(w, borders)
+        n[f] -= c
+        v[f] -= 1
+    cls = np.concatenate([group, classes + np.array([open_class(w, borders) for w, _ in others], np.int64)]).astype(np.int64)
+    words = {w: i for i, (w, _) in enumerate(ranked)}
+    # an empty lexicon still has a number to look up
+    counts = np.array([c for _, c in ranked] or [0], float)
+    return Lexicon(words, counts, cls if len(cls) else np.zeros(1, np.int64), starts, borders, total, distinct, n, v)
 
 
 class GatedNetwork:
-    """h' = u h + (1-u) tanh(x + r * (h V)), gates from the word and the state."""
+    """h' = z h + (1 - z) n; the state before a token predicts it."""
 
-    def __init__(self, lexicon: Lexicon, hidden: int = HIDDEN, seed: int = 1):
+    def __init__(self, lexicon: Lexicon, hidden: int = HIDDEN, seed: int = 1, kind=np.float32):
         rng = np.random.default_rng(seed)
-        classes, words = lexicon.biases
-        k, width = words.shape
-        inputs = sum(lexicon.sizes) + OPEN_CLASSES
-        small = lambda *s: (rng.standard_normal(s) * 0.08).astype(np.float32)
-        self.p = {
-            "x": small(inputs, 3 * hidden), "u": (rng.standard_normal((hidden, 3 * hidden)) / np.sqrt(hidden) * 0.7).astype(np.float32),
-            "c": small(hidden, k + OPEN_CLASSES), "cb": classes.astype(np.float32), "w": small(k, hidden, width), "wb": words.astype(np.float32),
-        }
-        self.p["x"][:, :hidden] += 1.0
-        self.hidden = hidden
-        self.sizes = [max(1, n) for n in lexicon.sizes]
+        k, m, listed = lexicon.short_classes, len(lexicon.borders) + 1, lexicon.listed
+        small = lambda *s: (rng.standard_normal(s) * 0.1).astype(kind)
+        mass = np.array([lexicon.counts[a:b].sum() for a, b in zip(lexicon.starts, lexicon.starts[1:], strict=False)] + lexicon.open_total.tolist())
+        bias, words = np.log(mass + 1.0), np.log(lexicon.counts[:listed] + 0.5)
+        for a, b in zip(lexicon.starts, lexicon.starts[1:], strict=False):
+            if b > a:
+                words[a:b] -= words[a:b].max()
+        self.p = {"x": small(listed + m, 2 * hidden), "c": small(hidden, k + m), "cb": (bias - bias.max()).astype(kind), "w": small(hidden, listed), "wb": words.astype(kind)}
+        # units remember over spans from a word to some sixty
+        self.p["x"][:, :hidden] += np.linspace(-1, 4, hidden).astype(kind)
+        self.p["x"][:, hidden:] *= 5
+        self.hidden, self.starts, self.kind = hidden, lexicon.starts, kind
         self.g2 = {n: np.full_like(v, 1e-6) for n, v in self.p.items()}
 
-    def forward(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray):
-        """States before each step (state[t] predicts token t) for one window.
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Gate and candidate of every input row."""
+        d = self.hidden
+        return 0.5 + 0.5 * np.tanh(0.5 * self.p["x"][:, :d]), np.tanh(self.p["x"][:, d:])
+
+    def states(self, x: np.ndarray, fresh: np.ndarray, carry: np.ndarray, tables, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+        """States before every token of consecutive tokens, and the state after them.
 
-        x[t]: input row of token t, read after it is predicted; fresh[t]: a text begins.
+        Windows are run side by side from nothing, with the product of their gates; the
+        state that really enters each one is then carried through them in order.
         """
-        d = self.hidden
-        states, store = np.empty((len(x), len(h), d), np.float32), []
-        emb, u = self.p["x"], self.p["u"]
-        for t in range(len(x)):
-            h = h * (1 - fresh[t])[:, None]
-            states[t] = h
-            e = emb[x[t]]
-            a = h @ u
-            gates = 0.5 + 0.5 * np.tanh(0.5 * (e[:, : 2 * d] + a[:, : 2 * d]))
-            z, r = gates[:, :d], gates[:, d:]
-            n = np.tanh(e[:, 2 * d :] + r * a[:, 2 * d :])
-            new = z * h + (1 - z) * n
-            store.append((h, z, r, n, a[:, 2 * d :]))
-            h = new
-        return states, h, store
-
-    def log_probs(self, states: np.ndarray, cls: np.ndarray, slot: np.ndarray, grad: bool = False):
-        """Natural log of P(class) P(word | class) for rows of states; slot -1: class only."""
+        z, n = tables
+        take = (1 - z) * n
+        count, size = -(-len(x) // window), len(x)
+        before = np.zeros(count * window, np.int64)
+        before[1:size] = x[:-1]
+        stop = np.zeros(count * window, bool)
+        stop[:size] = fresh
+        before, stop = before.reshape(count, window).T, stop.reshape(count, window).T
+        gate, state = z[before], take[before]
+        gate[stop], state[stop] = 0, 0
+        if not fresh[0]:
+            gate[0, 0], state[0, 0] = 1, 0
+        for t in range(1, window):
+            state[t] += gate[t] * state[t - 1]
+            gate[t] *= gate[t - 1]
+        enter = np.empty((count, self.hidden), self.kind)
+        h = carry
+        for i in range(count):
+            enter[i] = h
+            h = gate[-1, i] * h + state[-1, i]
+        state += gate * enter
+        flat = state.transpose(1, 0, 2).reshape(-1, self.hidden)[:size]
+        return flat, z[x[-1]] * flat[-1] + take[x[-1]]
+
+    def log_probs(self, states: np.ndarray, cls: np.ndarray, numbers: np.ndarray, grad: bool = False):
+        """Natural log of P(class) P(word | class); of open classes the class only."""
         p = self.p
-        logits = states @ p["c"] + p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1, keepdims=True)
+        e = states @ p["c"]
+        e += p["cb"]
         rows = np.arange(len(states))
-        out = logits[rows, cls] - np.log(total[:, 0])
+        picked = e[rows, cls]
+        np.exp(np.minimum(e, 60, out=e), out=e)
+        total = e.sum(axis=1)
+        out = picked - np.log(total)
         if grad:
-            dl = -e / total
-            dl[rows, cls] += 1
-            g = {"c": states.T @ dl, "cb": dl.sum(axis=0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
-            ds = dl @ p["c"].T
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(len(p["wb"]) + 1))
-        for k in range(len(p["wb"])):
-            pick = order[bounds[k] : bounds[k + 1]]
+            e /= -total[:, None]
+            e[rows, cls] += 1
+            g = {"c": states.T @ e, "cb": e.sum(axis=0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
+            ds = e @ p["c"].T
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        bounds = np.searchsorted(cls[order], np.arange(len(self.starts)))
+        for k in range(len(self.starts) - 1):
+            pick, a, b = order[bounds[k] : bounds[k + 1]], self.starts[k], self.starts[k + 1]
             if not len(pick):
                 continue
             s = states[pick]
-            size = self.sizes[k]
-            lw = s @ p["w"][k][:, :size] + p["wb"][k][:size]
-            lw -= lw.max(axis=1, keepdims=True)
-            ew = np.exp(lw)
-            tw = ew.sum(axis=1, keepdims=True)
-            at = np.arange(len(pick))
-            out[pick] += lw[at, slot[pick]] - np.log(tw[:, 0])
+            e = s @ p["w"][:, a:b]
+            e += p["wb"][a:b]
+            at, slot = np.arange(len(pick)), numbers[pick] - a
+            picked = e[at, slot]
+            np.exp(np.minimum(e, 60, out=e), out=e)
+            total = e.sum(axis=1)
+            out[pick] += picked - np.log(total)
             if grad:
-                dw = -ew / tw
-                dw[at, slot[pick]] += 1
-                g["w"][k][:, :size], g["wb"][k][:size] = s.T @ dw, dw.sum(axis=0)
-                ds[pick] += dw @ p["w"][k][:, :size].T
+                e /= -total[:, None]
+                e[at, slot] += 1
+                g["w"][:, a:b], g["wb"][a:b] = s.T @ e, e.sum(axis=0)
+                ds[pick] += e @ p["w"][:, a:b].T
         return (out, ds, g) if grad else out
 
-    def train_window(self, x, cls, slot, fresh, live, h, rate: float) -> tuple[np.ndarray, float]:
-        """One truncated step: gradients stop at the window's first state."""
+    def gradients(self, before: np.ndarray, stop: np.ndarray, cls: np.ndarray, numbers: np.ndarray, live: np.ndarray, enter: np.ndarray):
+        """(log likelihood, gradients, states) of one window of all streams.
+
+        [step, stream]: ``before`` the input row of the token before, ``stop`` whether a
+        text begins; ``enter`` the states that the windows before ended in.
+        """
         d = self.hidden
-        states, last, store = self.forward(x, fresh, h)
+        z, n = self.tables()
+        keep = (~stop)[:, :, None].astype(self.kind)
+        gate, states = z[before] * keep, ((1 - z) * n)[before] * keep
+        states[0] += gate[0] * enter
+        for t in range(1, len(before)):
+            states[t] += gate[t] * states[t - 1]
         on = live.reshape(-1)
-        flat = states.reshape(-1, d)[on]
-        out, ds, g = self.log_probs(flat, cls.reshape(-1)[on], slot.reshape(-1)[on], True)
-        full = np.zeros((len(on), d), np.float32)
-        full[on] = ds
-        full = full.reshape(states.shape)
-        dx = np.zeros((len(x), len(h), 3 * d), np.float32)
-        g["u"] = np.zeros_like(self.p["u"])
-        dh = np.zeros_like(h)
-        for t in range(len(x) - 1, -1, -1):
-            h0, z, r, n, ah = store[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h0 - n) * z * (1 - z)
-            dr = dn * ah * r * (1 - r)
-            da = np.concatenate([dz, dr, dn * r], axis=1)
-            dx[t] = np.concatenate([dz, dr, dn], axis=1)
-            g["u"] += h0.T @ da
-            dh = (dh * z + da @ self.p["u"].T + full[t]) * (1 - fresh[t])[:, None]
-        rows = x.reshape(-1)
-        scale = 1.0 / max(1, int(on.sum()))
+        out, ds, g = self.log_probs(states.reshape(-1, d)[on], cls.reshape(-1)[on], numbers.reshape(-1)[on], True)
+        back = np.zeros((len(on), d), self.kind)
+        back[on] = ds
+        back = back.reshape(states.shape)
+        for t in range(len(before) - 1, 0, -1):
+            back[t - 1] += gate[t] * back[t]
+        earlier = np.concatenate([enter[None], states[:-1]])
+        both = np.concatenate([back * earlier, back], axis=2) * keep
+        rows = before.reshape(-1)
+        order = np.argsort(rows.astype(np.int32), kind="stable")
+        used, first = np.unique(rows[order], return_index=True)
+        sums = np.add.reduceat(both.reshape(-1, 2 * d)[order], first, axis=0)
+        zu, nu = z[used], n[used]
+        of_gate, of_state = sums[:, :d], sums[:, d:]
+        g["x"] = np.concatenate([(of_gate - of_state * nu) * zu * (1 - zu), of_state * (1 - zu) * (1 - nu * nu)], axis=1)
+        return float(out.sum()), g, used, states
+
+    def step(self, g: dict[str, np.ndarray], used: np.ndarray, tokens: int, rate: float) -> None:
+        """One step up the likelihood, scaled by the root of the running squares."""
+        scale = 100.0 / max(1, tokens)
         for name, grad in g.items():
-            grad = np.clip(grad * scale * 100, -5, 5)
-            self.g2[name] += 0.05 * (grad * grad - self.g2[name])
-            self.p[name] += rate * grad / (np.sqrt(self.g2[name]) + 1e-3)
-        used, back = np.unique(rows, return_inverse=True)
-        gx = np.zeros((len(used), 3 * d), np.float32)
-        np.add.at(gx, back, dx.reshape(-1, 3 * d))
-        gx = np.clip(gx * scale * 100, -5, 5)
-        self.g2["x"][used] += 0.05 * (gx * gx - self.g2["x"][used])
-        self.p["x"][used] += rate * gx / (np.sqrt(self.g2["x"][used]) + 1e-3)
-        return last, float(out.sum())
-
-
-def streams_of(lengths: list[int], count: int) -> list[list[int]]:
-    """Texts dealt to streams, the longest first, each to the shortest stream."""
-    import heapq
-
-    heap = [(0, s) for s in range(max(1, min(count, len(lengths))))]
-    out: list[list[int]] = [[] for _ in heap]
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        n, s = heapq.heappop(heap)
-        out[s].append(i)
-        heapq.heappush(heap, (n + lengths[i], s))
-    return sorted(out, key=lambda s: -sum(lengths[i] for i in s))
-
-
-def pack(lexicon: Lexicon, texts: list[list[bytes]], count: int):
-    """Arrays [step, stream] of inputs, classes, slots, starts, owners (-1: nothing)."""
-    dealt = streams_of([len(t) for t in texts], count)
-    steps = max((sum(len(texts[i]) for i in s) for s in dealt), default=0)
-    x, cls, slot = (np.zeros((steps, len(dealt)), np.int32) for _ in range(3))
-    fresh, owner = np.zeros((steps, len(dealt)), np.float32), np.full((steps, len(dealt)), -1, np.int32)
-    get, code = lexicon.codes.get, lexicon.code
-    for s, members in enumerate(dealt):
-        at = 0
-        for i in members:
-            n = len(texts[i])
-            got = np.fromiter((get(w) or code(w) for w in texts[i]), np.int64, n)
-            x[at : at + n, s], cls[at : at + n, s], slot[at : at + n, s] = got >> 32, got >> 16 & 0xFFFF, (got & 0xFFFF) - 1
-            fresh[at, s] = 1
-            owner[at : at + n, s] = i
-            at += n
-    return x, cls, slot, fresh, owner
-
-
-def _windows(arrays, window: int):
-    """Windows of the packed arrays, cut to the streams that still run."""
-    owner = arrays[-1]
-    for a in range(0, len(owner), window):
-        live = int((owner[a] >= 0).sum())
-        yield [v[a : a + window, :live] for v in arrays], live
+            at = used if name == "x" else slice(None)
+            grad = np.clip(grad * self.kind(scale), -5, 5)
+            mean = self.g2[name][at]
+            mean += 0.05 * (grad * grad - mean)
+            self.g2[name][at] = mean
+            self.p[name][at] += self.kind(rate) * grad / (np.sqrt(mean) + self.kind(1e-3))
+
+
+def flatten(lexicon: Lexicon, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+    """Numbers, classes, inputs and text starts of all tokens of some texts, in order."""
+    lengths = np.array([len(t) for t in texts])
+    numbers = lexicon.numbers([w for t in texts for w in t])
+    classes = lexicon.classes(numbers)
+    fresh = np.zeros(len(numbers), bool)
+    fresh[np.cumsum(lengths) - lengths] = True
+    return numbers, classes, lexicon.inputs(numbers, classes), fresh
 
 
 def train_on(network: GatedNetwork, lexicon: Lexicon, texts: list[list[bytes]], rate: float, streams: int = STREAMS, window: int = WINDOW) -> int:
-    h = None
-    for (x, cls, slot, fresh, owner), live in _windows(pack(lexicon, texts, streams), window):
-        h = np.zeros((live, network.hidden), np.float32) if h is None else h[:live]
-        h, _ = network.train_window(x, cls, slot, fresh, owner >= 0, h, rate)
-    return sum(map(len, texts))
-
-
-def score_texts(network: GatedNetwork, lexicon: Lexicon, texts: list[list[bytes]], streams: int = 256, window: int = WINDOW) -> np.ndarray:
-    """log10 of the network's part of each text's probability."""
-    out, h = np.zeros(len(texts)), None
-    for (x, cls, slot, fresh, owner), live in _windows(pack(lexicon, texts, streams), window):
-        h = np.zeros((live, network.hidden), np.float32) if h is None else h[:live]
-        states, h, _ = network.forward(x, fresh, h)
-        on = owner.reshape(-1) >= 0
-        lp = network.log_probs(states.reshape(-1, network.hidden)[on], cls.reshape(-1)[on], slot.reshape(-1)[on])
-        out += np.bincount(owner.reshape(-1)[on], weights=lp, minlength=len(texts))
+    """Steps on texts laid end to end and cut into streams; returns the tokens."""
+    numbers, classes, inputs, fresh = flatten(lexicon, texts)
+    size = len(numbers)
+    length = -(-size // streams)
+    live = np.arange(length * streams) < size
+
+    def lay(a: np.ndarray) -> np.ndarray:
+        return np.concatenate([a, np.zeros(length * streams - size, a.dtype)]).reshape(streams, length).T
+
+    before = lay(np.concatenate([[0], inputs[:-1]]))
+    stop, cls, num, live = lay(fresh).copy(), lay(classes), lay(numbers), live.reshape(streams, length).T
+    stop[0] = True
+    enter = np.zeros((streams, network.hidden), network.kind)
+    for a in range(0, length, window):
+        b = min(length, a + window)
+        if not live[a:b].any():
+            break
+        _, g, used, states = network.gradients(before[a:b], stop[a:b], cls[a:b], num[a:b], live[a:b], enter)
+        enter = states[-1]
+        network.step(g, used, int(live[a:b].sum()), rate)
+    return size
+
+
+def score_texts(network: GatedNetwork, lexicon: Lexicon, flat: tuple[np.ndarray, ...], block: int = BLOCK) -> np.ndarray:
+    """log10 of the network's part of each text's probability; ``flat`` is of :func:`flatten`."""
+    numbers, classes, inputs, fresh = flat
+    owner = np.cumsum(fresh) - 1
+    tables, carry = network.tables(), np.zeros(network.hidden, network.kind)
+    out = np.zeros(int(fresh.sum()))
+    for a in range(0, len(numbers), block):
+        at = slice(a, a + block)
+        states, carry = network.states(inputs[at], fresh[at], carry, tables)
+        lp = network.log_probs(states, classes[at], numbers[at])
+        out += np.bincount(owner[at], weights=lp, minlength=len(out))
     return out / np.log(10)
 
 
@@ -358,68 +384,79 @@ def learn_lexicon(counts: DataFrame, known: int = KNOWN_WORDS, short_list: int =
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(known).collect()]
 
-    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, v = [0] * OPEN_CLASSES, [0] * OPEN_CLASSES
-        for b in batches:
-            for w, c in zip(b.column("word").to_pylist(), b.column("c").to_pylist(), strict=True):
-                f = form_of(w)
-                n[f] += c
-                v[f] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(OPEN_CLASSES), pa.int32()), pa.array(n, pa.int64()), pa.array(v, pa.int64())], ["form", "n", "v"])
+    def sums(borders: list[bytes]) -> dict[int, tuple[int, int]]:
+        def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, v = [0] * (len(borders) + 1), [0] * (len(borders) + 1)
+            for b in batches:
+                for w, c in zip(b.column("word").to_pylist(), b.column("c").to_pylist(), strict=True):
+                    f = open_class(w, borders)
+                    n[f] += c
+                    v[f] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(n)), pa.int32()), pa.array(n, pa.int64()), pa.array(v, pa.int64())], ["open", "n", "v"])
+
+        found = counts.mapInArrow(by_class, "open int, n long, v long").groupBy("open").agg(F.sum("n"), F.sum("v")).collect()
+        return {r[0]: (r[1], r[2]) for r in found}
 
-    sums = counts.mapInArrow(forms, "form int, n long, v long").groupBy("form").agg(F.sum("n"), F.sum("v")).collect()
-    return Lexicon.build(top, total[0], total[1], {r[0]: (r[1], r[2]) for r in sums}, short_list, classes)
+    return build_lexicon(top, total[0], total[1], sums, short_list, classes)
 
 
-def part_of_round(train: DataFrame, k: int, share: float = TRAIN_SHARE, rounds: int = ROUNDS) -> DataFrame:
-    """Rows (key, text) of round ``k``: drawn by key and text, so copies are drawn one by one."""
-    hashed = F.pmod(F.xxhash64("key", "text"), F.lit(1_000_000)) / F.lit(1e6)
-    return train.where((hashed >= k * share / rounds) & (hashed < (k + 1) * share / rounds))
+def part_of_round(train: DataFrame, k: int, rounds: int = ROUNDS) -> DataFrame:
+    """Rows (key, text) of round ``k``, dealt by key and text: every row is in one round."""
+    return train.where(F.pmod(F.xxhash64("key", "text"), F.lit(rounds)) == k)
+
+
+def _sum_parts(parts: DataFrame, *by: str) -> DataFrame:
+    """Rows (part, grp, n, sums) added up by ``by``, a stream of rows at a time."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for b in batches:
+            for part, grp, n, data in zip(*(b.column(c).to_pylist() for c in ("part", "grp", "n", "sums")), strict=True):
+                v = np.frombuffer(data, np.float32).astype(np.float64)
+                own = held.setdefault((part, grp if "grp" in by else 0), [0.0, 0.0])
+                own[0], own[1] = own[0] + n, own[1] + v
+        keys = list(held)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([held[k][0] for k in keys], pa.float64()), pa.array([held[k][1].astype(np.float32).tobytes() for k in keys], pa.binary())], ["part", "grp", "n", "sums"])
 
+    return parts.repartition(*(F.col(c) for c in by)).mapInArrow(add, "part int, grp int, n double, sums binary")
 
-def train_network(train: DataFrame, lexicon: Lexicon, share: float = TRAIN_SHARE, rounds: int = ROUNDS, rate: float = 0.02) -> GatedNetwork:
-    """Rounds of local steps with averaging over the training texts, or a hashed share of them.
 
-    Each round takes its own part of the share.  Every partition starts from the
-    round's parameters and returns its own, weighted by tokens; these are summed in
-    groups on the executors, so that the driver gets a bounded number of them.
+def train_network(train: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, rate: float = 0.02) -> GatedNetwork:
+    """Rounds of local steps with averaging over all training texts.
+
+    Each round takes its own part of the texts.  Every partition starts from the round's
+    parameters and returns its own, weighted by tokens and cut into parts.  The parts are
+    added up in groups of partitions and then over the groups, each in a task of its own,
+    so no task and not the driver sees the parameters of all partitions.
     """
     spark = train.sparkSession
     network = GatedNetwork(lexicon)
     for k in range(rounds):
-        part = part_of_round(train, k, share, rounds).select(F.lit(0).alias("key"), "text")
+        part = part_of_round(train, k, rounds).select(F.lit(0).alias("key"), "text")
         shared = spark.sparkContext.broadcast(pickle.dumps((network.p, lexicon)))
         pace = rate / (1 + k)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, pace=pace) -> Iterator[pa.RecordBatch]:
-            gc.disable()
             start, lex = pickle.loads(shared.value)
-            net = GatedNetwork(lex)
-            net.p, n = start, 0
-            for _, texts in _batches_of_texts(batches, 200_000):
-                n += train_on(net, lex, texts, pace)
+            net, n = GatedNetwork(lex), 0
+            net.p = start
+            gc.disable()
+            try:
+                for _, texts in _batches_of_texts(batches, 400_000):
+                    n += train_on(net, lex, texts, pace)
+            finally:
+                gc.enable()
             if n:
-                flat = np.concatenate([net.p[name].reshape(-1) for name in sorted(net.p)]).astype(np.float64) * n
-                yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([flat.astype(np.float32).tobytes()], pa.binary())], ["n", "sums"])
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, total = 0.0, None
-            for b in batches:
-                for m, s in zip(b.column("n").to_pylist(), b.column("sums").to_pylist(), strict=True):
-                    v = np.frombuffer(s, np.float32).astype(np.float64)
-                    n, total = n + m, v if total is None else total + v
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["n", "sums"])
-
-        kind = "n double, sums binary"
-        local = part.mapInArrow(run, kind)
-        n, total = 0.0, None
-        for r in local.repartition(4).mapInArrow(add, kind).toLocalIterator():
-            v = np.frombuffer(r["sums"], np.float32).astype(np.float64)
-            n, total = n + r["n"], v if total is None else total + v
-        if total is None:
+                flat = np.concatenate([net.p[name].reshape(-1) for name in sorted(net.p)]) * np.float32(n)
+                cut = np.array_split(flat, PARTS)
+                group = TaskContext.get().partitionId() % FAN_IN
+                yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([group] * PARTS, pa.int32()), pa.array([float(n)] * PARTS), pa.array([c.tobytes() for c in cut], pa.binary())], ["part", "grp", "n", "sums"])
+
+        local = part.mapInArrow(run, "part int, grp int, n double, sums binary")
+        total = _sum_parts(_sum_parts(local, "part", "grp"), "part").collect()
+        if not total:
             continue
-        mean, at = (total / n).astype(np.float32), 0
+        mean, at = np.concatenate([np.frombuffer(r["sums"], np.float32) / np.float32(r["n"]) for r in sorted(total, key=lambda r: r["part"])]), 0
         for name in sorted(network.p):
             size = network.p[name].size
             network.p[name] = mean[at : at + size].reshape(network.p[name].shape)
@@ -448,37 +485,34 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     shared = spark.sparkContext.broadcast(pickle.dumps((network.p, lexicon)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         params, lex = pickle.loads(shared.value)
         net = GatedNetwork(lex)
         net.p = params
-        below = lex.open_denominators()
-        first_open = len(lex.sizes)
-        for keys, texts in _batches_of_texts(batches, 400_000):
-            scores = score_texts(net, lex, texts)
-            base, tokens, known, rest = [], [], [], []
-            for i, words in enumerate(texts):
-                seen = Counter(words)
-                b, k, miss = 0.0, 0, []
-                for w, n in seen.items():
-                    _, cls, slot, c = lex.look(w)
-                    part = 0.0
-                    if c < 0:
-                        miss.append({"word": w, "n": n})
-                    else:
-                        k += n
-                        part = n * float(np.log10(c + 1.0)) if n else 0.0
-                        b += part
-                    if slot < 0:
-                        scores[i] += part - n * below[cls - first_open]
-                base.append(b - len(words) * lex.base_denominator)
-                tokens.append(len(words))
-                known.append(k)
-                rest.append(miss)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, key_type), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(scores), pa.array(rest, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
-                ["key", "n_tokens", "n_known", "base", "net", "rest"],
-            )
+        below, value = lex.open_denominators(), np.log10(lex.counts + 1.0)
+        gc.disable()
+        try:
+            for keys, texts in _batches_of_texts(batches, 200_000):
+                flat = flatten(lex, texts)
+                numbers, classes, _, fresh = flat
+                owner = np.cumsum(fresh) - 1
+                add = lambda w: np.bincount(owner, weights=w, minlength=len(texts))  # noqa: B023, E731
+                known = numbers >= 0
+                part = np.where(known, value[numbers], 0.0)
+                is_open = classes >= lex.short_classes
+                scores = score_texts(net, lex, flat) + add(np.where(is_open, part - below[np.where(is_open, classes - lex.short_classes, 0)], 0.0))
+                tokens = np.bincount(owner, minlength=len(texts))
+                words = [w for t in texts for w in t]
+                miss = np.flatnonzero(~known)
+                tally = Counter(zip(owner[miss].tolist(), map(words.__getitem__, miss.tolist()), strict=True))
+                pairs = sorted(tally)
+                ends = np.cumsum(np.bincount([i for i, _ in pairs], minlength=len(texts)) if pairs else np.zeros(len(texts), np.int64))
+                rest = pa.StructArray.from_arrays([pa.array([w for _, w in pairs], pa.binary()), pa.array([tally[x] for x in pairs], pa.int64())], ["word", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, key_type), pa.array(tokens, pa.int64()), pa.array(add(known).astype(np.int64)), pa.array(add(part) - tokens * lex.base_denominator), pa.array(scores), pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), rest)],
+                    ["key", "n_tokens", "n_known", "base", "net", "rest"],
+                )
+        finally:
+            gc.enable()
 
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -275,54 +275,120 @@ def test_dictionaries_of_copies_and_banners(spark):
     assert got["fr"].count(b"contenu") > got["fr"].count(b"banner")
 
 
-def test_recurrent_gradients_and_proper_distribution():
-    rng = np.random.default_rng(1)
-    top = [(b"aa", 9), (b"bb", 7), (recurrent_lm.END, 6), (b"cc,", 2), (b"d1", 1)]
-    forms = {}
-    for w, c in top:
-        f = recurrent_lm.form_of(w)
-        n, v = forms.get(f, (0, 0))
-        forms[f] = n + c, v + 1
-    lex = recurrent_lm.Lexicon.build(top, 25, 5, forms, 3, 2)
+def small_lexicon(short_list=3, classes=2, open_classes=3):
+    top = [(b"aa", 9), (b"bb", 7), (recurrent_lm.END, 6), (b"cc,", 2), (b"d1", 1), (b"e", 1)]
+    every = dict(top) | {b"zz": 1, b"yx": 1}
+
+    def sums(borders):
+        out = {}
+        for w, c in every.items():
+            n, v = out.get(recurrent_lm.open_class(w, borders), (0, 0))
+            out[recurrent_lm.open_class(w, borders)] = n + c, v + 1
+        return out
+
+    return recurrent_lm.build_lexicon(top, sum(every.values()), len(every), sums, short_list, classes, open_classes), every
+
+
+def test_network_gradients_are_numeric_gradients():
+    lex, _ = small_lexicon()
+    net = recurrent_lm.GatedNetwork(lex, 4, kind=np.float64)
+    rng = np.random.default_rng(5)
+    net.p = {n: rng.standard_normal(v.shape) * 0.5 for n, v in net.p.items()}
+    words = [b"aa", b"bb", b"zz", recurrent_lm.END, b"bb", b"cc,", b"aa", b"d1", b"e", recurrent_lm.END]
+    num = lex.numbers(words)
+    cls = lex.classes(num)
+    inp = lex.inputs(num, cls)
+    lay = lambda a: np.asarray(a).reshape(2, 5).T
+    args = lay(np.append(0, inp[:-1])), lay([True, False, False, False, True, False, False, False, True, False]), lay(cls), lay(num), lay([True] * 9 + [False]), rng.standard_normal((2, 4))
+    _, g, used, _ = net.gradients(*args)
+    full = np.zeros_like(net.p["x"])
+    full[used] = g["x"]
+    g["x"] = full
+    for name, value in net.p.items():
+        for at in np.ndindex(value.shape):
+            old, sides = value[at], []
+            for d in (1e-5, -1e-5):
+                value[at] = old + d
+                sides.append(net.gradients(*args)[0])
+            value[at] = old
+            assert abs((sides[0] - sides[1]) / 2e-5 - g[name][at]) < 1e-6, (name, at)
+
+
+def test_network_is_a_distribution_and_carries_its_state():
+    lex, every = small_lexicon()
     net = recurrent_lm.GatedNetwork(lex, 4)
-    texts = [[b"aa", b"bb", b"zz", recurrent_lm.END], [b"bb", recurrent_lm.END], [b"cc,", b"aa", b"d1", recurrent_lm.END]]
-    packed = recurrent_lm.pack(lex, texts, 2)
-    whole = recurrent_lm.score_texts(net, lex, texts, window=1)
-    assert np.allclose(whole, recurrent_lm.score_texts(net, lex, texts, streams=1, window=7), atol=1e-4)
-    # the classes' and words' probabilities sum to one
-    state = rng.standard_normal((1, 4)).astype(np.float32)
-    total = 0.0
-    for k, size in enumerate([*lex.sizes, *[0] * recurrent_lm.OPEN_CLASSES]):
-        slots = range(size) if k < len(lex.sizes) else [-1]
-        total += sum(float(np.exp(net.log_probs(state, np.array([k]), np.array([s]))[0])) for s in slots)
-    assert abs(total - 1) < 1e-4
-    x, cls, slot, fresh, owner = packed
-    h = np.zeros((x.shape[1], 4), np.float32)
-
-    def loss():
-        states, _, _ = net.forward(x, fresh, h)
-        on = owner.reshape(-1) >= 0
-        return float(net.log_probs(states.reshape(-1, 4)[on], cls.reshape(-1)[on], slot.reshape(-1)[on]).sum())
-
-    before = loss()
+    state = np.random.default_rng(1).standard_normal((1, 4)).astype(np.float32)
+    total, known = 0.0, set(every)
+    below = lex.open_total + lex.open_distinct + 1
+
+    def probability(w, count):
+        num = lex.numbers([w])
+        cls = lex.classes(num)
+        p = float(np.exp(net.log_probs(state, cls, num)[0]))
+        return p if 0 <= num[0] < lex.listed else p * (count + 1) / below[cls[0] - lex.short_classes]
+
+    total = sum(probability(w, c) for w, c in every.items())
+    unseen = {}
+    for w in (b"qa", b"qb", b"q,", b"q1", b"qe", b"qz", b"q\xff", b"q\n", b"qd", b"qc"):
+        unseen.setdefault(lex.open_class(w), probability(w, 0))
+    assert set(range(len(lex.borders) + 1)) == set(unseen) and known
+    assert abs(total + sum(unseen.values()) - 1) < 1e-4
+    rng = random.Random(3)
+    texts = [[rng.choice(list(every)) for _ in range(rng.randint(0, 90))] + [recurrent_lm.END] for _ in range(12)]
+    flat = recurrent_lm.flatten(lex, texts)
+    whole = recurrent_lm.score_texts(net, lex, flat)
+    assert np.allclose(whole, recurrent_lm.score_texts(net, lex, flat, block=7), atol=1e-3)
+    # one token after the other, as the recurrence says
+    z, n = net.tables()
+    for t, want in zip(texts, whole, strict=True):
+        h, out = np.zeros((1, 4), np.float32), 0.0
+        num = lex.numbers(t)
+        cls = lex.classes(num)
+        for a, c, x in zip(num, cls, lex.inputs(num, cls), strict=True):
+            out += float(net.log_probs(h, np.array([c]), np.array([a]))[0]) / np.log(10)
+            h = z[x] * h + (1 - z[x]) * n[x]
+        assert abs(out - want) < 1e-3
+    before = whole.sum()
     for _ in range(30):
-        net.train_window(x, cls, slot, fresh, owner >= 0, h, 0.02)
-    assert loss() > before
+        recurrent_lm.train_on(net, lex, texts, 0.02, streams=3, window=8)
+    assert recurrent_lm.score_texts(net, lex, flat).sum() > before + 5
 
 
-def test_network_has_twenty_units():
-    lex = recurrent_lm.Lexicon.build([(b"aa", 2), (recurrent_lm.END, 1)], 3, 2, {}, 2, 2)
-    assert recurrent_lm.GatedNetwork(lex).p["u"].shape == (20, 60)
+def test_open_classes_are_balanced():
+    rng = random.Random(8)
+    words = [(f"w{i}{rng.choice('abcdefgh')}{rng.choice('xyz.')}".encode(), rng.randint(1, 9)) for i in range(5000)]
+    borders = recurrent_lm.open_borders(words, 16)
+    mass = [0] * 16
+    for w, c in words:
+        mass[recurrent_lm.open_class(w, borders)] += c
+    assert max(mass) < 1.1 * sum(mass) / 16 and len(borders) == 15
+    assert recurrent_lm.open_borders([], 16) == [] and recurrent_lm.open_class(b"new", []) == 0
 
 
 def test_network_trains_on_all_texts(spark):
     rows = spark.createDataFrame([(i, "the same text" if i < 300 else f"text {i}") for i in range(900)] + [(None, "null key")], "key long, text string")
     parts = [recurrent_lm.part_of_round(rows, k).collect() for k in range(recurrent_lm.ROUNDS)]
     assert sorted(str(r) for p in parts for r in p) == sorted(str(r) for r in rows.collect())
-    # a share holds copies in proportion, not all or none of them
-    some = [r for k in range(2) for r in recurrent_lm.part_of_round(rows, k, 0.2).collect()]
-    copies = sum(r["text"] == "the same text" for r in some)
-    assert 30 <= copies <= 90 and 80 <= len(some) - copies <= 160
+    # copies are dealt one by one, not all to one round
+    copies = [sum(r["text"] == "the same text" for r in p) for p in parts]
+    assert min(copies) > 90
+
+
+def test_parameters_are_summed_by_part(spark):
+    rng = np.random.default_rng(2)
+    data = [(p, g, float(1 + g), rng.standard_normal(5).astype(np.float32)) for p in range(3) for g in (0, 1, 1, 2)]
+    rows = spark.createDataFrame([(p, g, n, v.tobytes()) for p, g, n, v in data], "part int, grp int, n double, sums binary")
+    out = recurrent_lm._sum_parts(recurrent_lm._sum_parts(rows, "part", "grp"), "part").collect()
+    assert sorted(r["part"] for r in out) == [0, 1, 2]
+    for r in out:
+        assert r["n"] == 8.0 and np.allclose(np.frombuffer(r["sums"], np.float32), sum(v for p, _, _, v in data if p == r["part"]), atol=1e-5)
+
+
+def test_network_beats_its_base_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = queries.op3_lm_scores(spark, "/root/testdata/sf0.01").where("held_out")
+    got = out.agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens"), F.count("*")).first()
+    assert got[0] > got[1] + 0.1 and got[2] == docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2).count()
 
 
 def test_lm_scores(spark):
