@@ -129,8 +129,9 @@ class Lexicon:
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Numbers of words; -1 - (open class) for a word that isn't known."""
         out = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        for i in np.flatnonzero(out < 0).tolist():
-            out[i] = -1 - self.open_class(words[i])
+        miss = np.flatnonzero(out < 0)
+        borders = self.borders
+        out[miss] = [-1 - bisect_right(borders, words[i][::-1]) for i in miss.tolist()]
         return out
 
     def classes(self, numbers: np.ndarray) -> np.ndarray:
@@ -182,6 +183,29 @@ def build_lexicon(top: list[tuple[bytes, int]], total: int, distinct: int, sums,
     return Lexicon(words, counts, cls if len(cls) else np.zeros(1, np.int64), starts, borders, total, distinct, n, v)
 
 
+def _log_softmax(s: np.ndarray, m: np.ndarray, at: np.ndarray):
+    """(log probability of column ``at`` by row, unscaled probabilities, a function that
+    turns these in place into the gradients of the log probability by the products)."""
+    e = s @ m
+    rows = np.arange(len(s))
+    picked = e[rows, at]
+    with np.errstate(over="ignore"):
+        total = np.exp(e, out=e).sum(axis=1)
+    if not np.isfinite(total).all():
+        e = s @ m
+        top = e.max(axis=1, keepdims=True)
+        e -= top
+        picked = e[rows, at]
+        total = np.exp(e, out=e).sum(axis=1)
+
+    def slope(e: np.ndarray) -> np.ndarray:
+        e /= -total[:, None]
+        e[rows, at] += 1
+        return e
+
+    return picked - np.log(total), e, slope
+
+
 class GatedNetwork:
     """h' = z h + (1 - z) n; the state before a token predicts it."""
 
@@ -238,18 +262,14 @@ class GatedNetwork:
 
     def log_probs(self, states: np.ndarray, cls: np.ndarray, numbers: np.ndarray, grad: bool = False):
         """Natural log of P(class) P(word | class); of open classes the class only."""
-        p = self.p
-        e = states @ p["c"]
-        e += p["cb"]
-        rows = np.arange(len(states))
-        picked = e[rows, cls]
-        np.exp(np.minimum(e, 60, out=e), out=e)
-        total = e.sum(axis=1)
-        out = picked - np.log(total)
+        p, d = self.p, self.hidden
+        # a column of ones: the products take the biases along, and give their gradients
+        ones = np.ones((len(states), d + 1), states.dtype)
+        ones[:, :d] = states
+        of_class, of_word = np.vstack([p["c"], p["cb"]]), np.vstack([p["w"], p["wb"]])
+        out, e, picked = _log_softmax(ones, of_class, cls)
         if grad:
-            e /= -total[:, None]
-            e[rows, cls] += 1
-            g = {"c": states.T @ e, "cb": e.sum(axis=0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
+            g_class, g_word = ones.T @ picked(e), np.zeros_like(of_word)
             ds = e @ p["c"].T
         order = np.argsort(cls.astype(np.int16), kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(len(self.starts)))
@@ -257,20 +277,15 @@ class GatedNetwork:
             pick, a, b = order[bounds[k] : bounds[k + 1]], self.starts[k], self.starts[k + 1]
             if not len(pick):
                 continue
-            s = states[pick]
-            e = s @ p["w"][:, a:b]
-            e += p["wb"][a:b]
-            at, slot = np.arange(len(pick)), numbers[pick] - a
-            picked = e[at, slot]
-            np.exp(np.minimum(e, 60, out=e), out=e)
-            total = e.sum(axis=1)
-            out[pick] += picked - np.log(total)
+            s = ones[pick]
+            lp, e, picked = _log_softmax(s, of_word[:, a:b], numbers[pick] - a)
+            out[pick] += lp
             if grad:
-                e /= -total[:, None]
-                e[at, slot] += 1
-                g["w"][:, a:b], g["wb"][a:b] = s.T @ e, e.sum(axis=0)
+                g_word[:, a:b] = s.T @ picked(e)
                 ds[pick] += e @ p["w"][:, a:b].T
-        return (out, ds, g) if grad else out
+        if not grad:
+            return out
+        return out, ds, {"c": g_class[:d], "cb": g_class[d], "w": g_word[:d], "wb": g_word[d]}
 
     def gradients(self, before: np.ndarray, stop: np.ndarray, cls: np.ndarray, numbers: np.ndarray, live: np.ndarray, enter: np.ndarray):
         """(log likelihood, gradients, states) of one window of all streams.
@@ -280,8 +295,8 @@ class GatedNetwork:
         """
         d = self.hidden
         z, n = self.tables()
-        keep = (~stop)[:, :, None].astype(self.kind)
-        gate, states = z[before] * keep, ((1 - z) * n)[before] * keep
+        gate, states = z[before], ((1 - z) * n)[before]
+        gate[stop], states[stop] = 0, 0
         states[0] += gate[0] * enter
         for t in range(1, len(before)):
             states[t] += gate[t] * states[t - 1]
@@ -293,10 +308,13 @@ class GatedNetwork:
         for t in range(len(before) - 1, 0, -1):
             back[t - 1] += gate[t] * back[t]
         earlier = np.concatenate([enter[None], states[:-1]])
-        both = np.concatenate([back * earlier, back], axis=2) * keep
+        both = np.concatenate([back * earlier, back], axis=2)
+        both[stop] = 0
         rows = before.reshape(-1)
-        order = np.argsort(rows.astype(np.int32), kind="stable")
-        used, first = np.unique(rows[order], return_index=True)
+        order = np.argsort(rows.astype(np.int16 if len(z) < 1 << 15 else np.int32), kind="stable")
+        ranked = rows[order]
+        first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        used = ranked[first]
         sums = np.add.reduceat(both.reshape(-1, 2 * d)[order], first, axis=0)
         zu, nu = z[used], n[used]
         of_gate, of_state = sums[:, :d], sums[:, d:]
@@ -501,14 +519,20 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
                 is_open = classes >= lex.short_classes
                 scores = score_texts(net, lex, flat) + add(np.where(is_open, part - below[np.where(is_open, classes - lex.short_classes, 0)], 0.0))
                 tokens = np.bincount(owner, minlength=len(texts))
-                words = [w for t in texts for w in t]
-                miss = np.flatnonzero(~known)
-                tally = Counter(zip(owner[miss].tolist(), map(words.__getitem__, miss.tolist()), strict=True))
-                pairs = sorted(tally)
-                ends = np.cumsum(np.bincount([i for i, _ in pairs], minlength=len(texts)) if pairs else np.zeros(len(texts), np.int64))
-                rest = pa.StructArray.from_arrays([pa.array([w for _, w in pairs], pa.binary()), pa.array([tally[x] for x in pairs], pa.int64())], ["word", "n"])
+                # the words that aren't known, counted text by text
+                words, counts, ends, miss = [], [], [0], np.flatnonzero(~known)
+                begin = np.cumsum(tokens) - tokens
+                cuts = np.searchsorted(miss, np.append(begin, len(numbers))).tolist()
+                places = (miss - begin[owner[miss]]).tolist()
+                for i, t in enumerate(texts):
+                    if cuts[i] < cuts[i + 1]:
+                        tally = Counter(map(t.__getitem__, places[cuts[i] : cuts[i + 1]]))
+                        words += tally.keys()
+                        counts += tally.values()
+                    ends.append(len(words))
+                rest = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["word", "n"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, key_type), pa.array(tokens, pa.int64()), pa.array(add(known).astype(np.int64)), pa.array(add(part) - tokens * lex.base_denominator), pa.array(scores), pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), rest)],
+                    [pa.array(keys, key_type), pa.array(tokens, pa.int64()), pa.array(add(known).astype(np.int64)), pa.array(add(part) - tokens * lex.base_denominator), pa.array(scores), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)],
                     ["key", "n_tokens", "n_known", "base", "net", "rest"],
                 )
         finally:
