@@ -436,14 +436,17 @@ def _with_parts(sets: DataFrame, cut: DataFrame) -> DataFrame:
 
 
 def _links(sets: DataFrame, entries: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """(a, b): links between classes that connect all that links connect."""
-    sized = sets.select("cid", "grp", (F.octet_length("shingles") / 8).cast("long").alias("n"))
+    """(a, b): links between classes that connect all that links connect.
+
+    Who meets whom is found on narrow tables of class numbers; the sets are joined to the
+    finished tasks only, once for the blocks and once for the visits between them.
+    """
+    sized = sets.select("cid", "sig", "grp", (F.octet_length("shingles") / 8).cast("long").alias("n"))
     groups = sized.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("mass"))
     parts = F.ceil(F.greatest(F.col("members") / F.lit(float(block)), F.col("mass") / F.lit(float(BLOCK_SHINGLES)))).cast("int")
     groups = durable(groups.select("grp", parts.alias("parts")), "group-sizes")
     place = _with_parts(sized, groups.where("parts > 1")).join(_kin(sized, entries, block), "cid", "left")
-    place = durable(place.select("cid", "grp", "parts", F.pmod(F.xxhash64(F.coalesce("kin", "cid")), F.col("parts")).cast("int").alias("part")), "places")
-    placed = sets.drop("grp").join(place, "cid")
+    place = durable(place.select("cid", "sig", "grp", "parts", F.pmod(F.xxhash64(F.coalesce("kin", "cid")), F.col("parts")).cast("int").alias("part")), "places")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by task; a task's sets are searched when the next begins."""
@@ -477,35 +480,35 @@ def _links(sets: DataFrame, entries: DataFrame, num: int, den: int, block: int)
             yield done()
 
     def run(tasks: DataFrame) -> DataFrame:
-        dealt = tasks.repartition("task").sortWithinPartitions("task", "sig")
-        return dealt.mapInArrow(search, "a binary, b binary")
+        """Links found by tasks (task, cid, sig, query).  Two classes of one number have
+        one place each, so the signature is part of the join."""
+        dealt = tasks.join(sets.select("cid", "sig", "shingles"), ["cid", "sig"]).drop("cid").repartition("task").sortWithinPartitions("task", "sig")
+        return dealt.select("task", "sig", "shingles", "query").mapInArrow(search, "a binary, b binary")
 
-    within = placed.select(F.struct("grp", "part", F.lit(-1).alias("other")).alias("task"), "sig", "shingles", F.lit(False).alias("query"))
-    big = placed.where("parts > 1")
+    within = place.select(F.struct("grp", "part", F.lit(-1).alias("other")).alias("task"), "cid", "sig", F.lit(False).alias("query"))
     links = durable(run(within), "links-within")
-    if not big.take(1):
-        return links
     comp = connected_components(links, "links-first")
-    tagged = big.join(comp, big["sig"] == comp["node"], "left").select("cid", "grp", "part", "sig", "shingles", F.coalesce("comp", "sig").alias("comp"))
-    tagged = durable(tagged, "blocks")
+    big = place.where("parts > 1")
+    tagged = durable(big.join(comp, big["sig"] == comp["node"], "left").select("cid", "grp", "part", "sig", F.coalesce("comp", "sig").alias("comp")), "blocks")
     weight = tagged.groupBy("grp", "comp").agg(F.count("*").alias("w"))
     main = weight.groupBy("grp").agg(F.max_by("comp", F.struct("w", "comp")).alias("main"))
     # classes outside the largest component ask the other blocks of which the lists meet
     # as many of their entries as a link needs; a block takes its visitors in shards
-    asking = tagged.select("cid", "grp", "comp").join(main, "grp").where("comp <> main").select("cid")
-    ours = durable(entries.join(place, "cid").select("h", "grp", "cid", "part", "least", "parts"), "placed-entries").where("parts > 1")
-    lists = ours.select("h", "grp", F.col("part").alias("to")).distinct()
-    asks = ours.join(asking, "cid", "left_semi").select("h", "grp", "cid", "part", "least")
+    asking = tagged.join(F.broadcast(main) if main.count() <= CUT_GROUPS else main, "grp").where("comp <> main").select("cid")
+    ours = durable(entries.join(place, "cid").select("h", "grp", "cid", "part", "least", "parts"), "placed-entries")
+    lists = ours.where("parts > 1").select("h", "grp", F.col("part").alias("to")).distinct()
+    asks = ours.where("parts > 1").join(asking, "cid", "left_semi").select("h", "grp", "cid", "part", "least")
     met = asks.join(lists, ["h", "grp"]).where("to <> part").groupBy("grp", "to", "cid", "least").agg(F.count("*").alias("c"))
     met = durable(met.where("c >= least").select("grp", "to", "cid"), "visits")
+    drop_durable(ours)
     visited = met.groupBy("grp", "to").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("shards"))
     visits = met.join(visited, ["grp", "to"]).withColumn("shard", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("shards")).cast("int"))
-    visits = visits.select("grp", "to", "shard", "cid").join(tagged.select("cid", "sig", "shingles"), "cid").drop("cid")
-    homes = tagged.select("grp", F.col("part").alias("to"), "sig", "shingles").join(visited, ["grp", "to"])
-    homes = homes.select("grp", "to", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "sig", "shingles")
-    across = visits.withColumn("query", F.lit(True)).unionByName(homes.withColumn("query", F.lit(False)))
-    across = across.select(F.struct("grp", F.col("to").alias("part"), F.col("shard").alias("other")).alias("task"), "sig", "shingles", "query")
+    visits = visits.select("grp", "to", "shard", "cid").join(tagged.select("cid", "sig"), "cid").withColumn("query", F.lit(True))
+    homes = tagged.select("grp", F.col("part").alias("to"), "cid", "sig").join(visited, ["grp", "to"])
+    homes = homes.select("grp", "to", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "cid", "sig", F.lit(False).alias("query"))
+    across = visits.unionByName(homes)
+    across = across.select(F.struct("grp", F.col("to").alias("part"), F.col("shard").alias("other")).alias("task"), "cid", "sig", "query")
     across = durable(run(across), "links-across")
-    for done in (tagged, met, ours):
+    for done in (tagged, met, place):
         drop_durable(done)
     return links.unionByName(across)
