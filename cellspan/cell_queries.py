@@ -66,6 +66,11 @@ def _filter(name: str, f, tail: str = OUT, days: bool = False, scan: Scan = Scan
 
 
 R20 = b"00000020"
+_VERIFY = (
+    "WITH a AS (" + kernel(days=True, pre="ts>=19730 AND ts<19745") + "SELECT * FROM vN), b AS (" + kernel(days=True, deletes=False, pre="ts>=19730 AND ts<19745") + "SELECT * FROM vN), "
+    "x AS (SELECT r, string_agg(q||ts, ',' ORDER BY q, ts) k, string_agg(q||ts||'='||v, ',' ORDER BY q, ts) w FROM a GROUP BY r), y AS (SELECT r, string_agg(q||ts, ',' ORDER BY q, ts) k, string_agg(q||ts||'='||v, ',' ORDER BY q, ts) w FROM b GROUP BY r) "
+    "SELECT CASE WHEN y.r IS NULL THEN 'left_only' WHEN x.r IS NULL THEN 'right_only' WHEN x.w=y.w THEN 'match' WHEN x.k=y.k THEN 'value_differs' ELSE 'keys_differ' END status, count(*) n FROM x FULL JOIN y ON x.r=y.r GROUP BY 1"
+)
 # -- scans ---------------------------------------------------------------------------
 _scan("scan_full", Scan(), kernel() + OUT)
 _scan("visible_with_deletes", Scan(max_versions=None), kernel(days=True, versions=None) + OUT, days=True)
@@ -96,7 +101,7 @@ def _multi(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("multi_get", _multi, kernel() + "SELECT i.idx, i.k r, q, ts, v FROM (VALUES (0,'00000030'),(1,'missing'),(2,'00000003'),(3,'00000030')) i(idx,k) LEFT JOIN vN ON vN.r=i.k")
-_add("exists", lambda spark, d: visible_cells(event_cells(spark, d), Scan(start=R20, stop=R20)).agg((F.count("*") > 0).alias("found")), kernel(pre="r='00000020'") + "SELECT count(*)>0 AS found FROM vN")
+_add("exists", lambda spark, d: spark.createDataFrame([(jobs.exists(event_cells(spark, d), Scan(start=R20, stop=R20)),)], "found boolean"), kernel(pre="r='00000020'") + "SELECT count(*)>0 AS found FROM vN")
 _add("row_or_before", lambda spark, d: shown(jobs.row_or_before(event_cells(spark, d), b"00000050x", "e")), kernel() + "SELECT r,f,q,ts,v FROM vN WHERE r=(SELECT max(r) FROM vis WHERE r<='00000050x')")
 
 # -- filters ---------------------------------------------------------------------------
@@ -135,6 +140,12 @@ _filter(
 _PAGE = "SELECT r,f,q,ts,v FROM vN WHERE r IN (SELECT r FROM (SELECT DISTINCT r FROM vN) t ORDER BY r LIMIT 10)"
 _filter("filter_page", fl.PageFilter(10), _PAGE)
 _filter("filter_list_all", FilterList(fl.MUST_PASS_ALL, (fl.ValueFilter(LESS, _n(10_000)), fl.PageFilter(10))), _PAGE, pre="v<10000")
+_filter("filter_list_page_then_value", FilterList(fl.MUST_PASS_ALL, (fl.PageFilter(10), fl.ValueFilter(LESS, _n(10_000)))), _PAGE, pre="v<10000")
+_filter("filter_list_page_then_row", FilterList(fl.MUST_PASS_ALL, (fl.PageFilter(10), fl.RowFilter(GREATER, b"00000030"))), _PAGE, pre="r>'00000030'")
+_filter(
+    "filter_list_page_then_single_column", FilterList(fl.MUST_PASS_ALL, (fl.PageFilter(10), fl.SingleColumnValueFilter("e", b"click", LESS, _n(20_000), True))),
+    "SELECT r,f,q,ts,v FROM vN WHERE r IN (SELECT r FROM (SELECT DISTINCT r FROM vN) t ORDER BY r LIMIT 10) AND r IN (SELECT r FROM vN WHERE q='click' AND v<20000)",
+)
 _filter("filter_list_one", FilterList(fl.MUST_PASS_ONE, (fl.RowFilter(EQUAL, R20), fl.QualifierFilter(EQUAL, b"view"))), pre="r='00000020' OR q='view'")
 _filter(
     "filter_list_nested", FilterList(fl.MUST_PASS_ALL, (FilterList(fl.MUST_PASS_ONE, (fl.PrefixFilter(b"0000001"), fl.PrefixFilter(b"0000003"))), fl.SingleColumnValueFilter("e", b"click", LESS, _n(20_000), True))),
@@ -216,6 +227,8 @@ _add(
 # -- jobs ------------------------------------------------------------------------------
 _add("row_count", lambda spark, d: jobs.count_rows(event_cells(spark, d)), kernel() + "SELECT count(DISTINCT r) n FROM vN")
 _add("row_counter_job", lambda spark, d: jobs.row_counter(event_cells(spark, d, props=True), Scan().add_family("p")), kernel(props=True, pre="f='p'") + "SELECT count(*) n FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY f,q,ts DESC) k FROM vN) x WHERE k=1 AND length(s)>0")
+_add("import_exported", lambda spark, d: shown(visible_cells(jobs.import_cells(jobs.export_cells(event_cells(spark, d, True), 2, 19_730, 19_745), {"e": "n"}), Scan(max_versions=None))), kernel(days=True, versions=2, pre="ts>=19730 AND ts<19745") + "SELECT r,'n' f,q,ts,v FROM vN")
+_add("verify_time_range", lambda spark, d: jobs.verify_copy(event_cells(spark, d, True), event_cells(spark, d, True, False), 19_730, 19_745, ["e"]).groupBy("status").agg(F.count("*").alias("n")), _VERIFY)
 _add("export_versions", lambda spark, d: shown(visible_cells(jobs.export_cells(event_cells(spark, d, True), 2, 19_730, 19_745), Scan(raw=True))), kernel(days=True, versions=2, pre="ts>=19730 AND ts<19745") + OUT)
 _add("copy_table_range", lambda spark, d: shown(jobs.copy_cells(event_cells(spark, d, True), 19_730, 19_745, ["e:copy"])), kernel(days=True, pre="ts>=19730 AND ts<19745") + "SELECT r,'copy' f,q,ts,v FROM vN")
 
@@ -225,7 +238,7 @@ def _tsv(spark: SparkSession, d: str, bad: bool) -> DataFrame:
 
     na = spark.read.parquet(f"{d}/nation.parquet")
     text = F.when(F.col("n_nationkey") % 7 == 3, F.col("n_name")).when(F.col("n_nationkey") % 7 == 5, F.concat_ws("\t", "n_name", F.lit("a"), F.lit("b"), F.lit("c"))).when(F.col("n_nationkey") % 7 == 6, F.concat_ws("\t", "n_name", F.col("n_nationkey").cast("string"))).otherwise(F.concat_ws("\t", "n_name", F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")))
-    cells, wrong = parse_tsv(na.select(text.alias("value")), "f:name,HBASE_ROW_KEY,g", 77)
+    cells, wrong = parse_tsv(na.select(text.alias("value")), "f:name,ROW_KEY,g", 77)
     return wrong.agg(F.count("*").alias("bad_lines")) if bad else shown(cells, False)
 
 
@@ -269,6 +282,19 @@ def _verify(spark: SparkSession, d: str) -> DataFrame:
 _add("verify_tables", _verify, kernel(deletes=False) + "SELECT count(*) FILTER (WHERE NOT bad) goodrows, count(*) FILTER (WHERE bad) badrows FROM (SELECT r, (CAST(r AS BIGINT)%11=0 OR (CAST(r AS BIGINT)%13=0 AND max(CASE WHEN q='click' THEN 1 ELSE 0 END)=1)) bad FROM vN GROUP BY r) x")
 _SPLITS = [b"00000050", b"00000100"]
 _add("endpoint_sum_per_region", lambda spark, d: jobs.endpoint_sum(event_cells(spark, d), "e", b"click", _SPLITS, kind="long"), kernel(pre="q='click'") + "SELECT CASE WHEN r>='00000100' THEN 2 WHEN r>='00000050' THEN 1 ELSE 0 END region, CAST(sum(v) AS BIGINT) total FROM vN GROUP BY 1")
+def _per_region(batches):
+    """region, cells and rows of one region, however many batches it has."""
+    import pyarrow as pa
+
+    region, cells, rows, last = None, 0, 0, None
+    for b in batches:
+        keys = b.column("row").to_pylist()
+        region, cells = b.column("region")[0].as_py(), cells + len(keys)
+        rows, last = rows + sum(x != y for x, y in zip(keys, [last, *keys], strict=False)), keys[-1]
+    yield pa.RecordBatch.from_arrays([pa.array([region], pa.int32()), pa.array([cells], pa.int64()), pa.array([rows], pa.int64())], ["region", "cells", "n_rows"])
+
+
+_add("endpoint_custom", lambda spark, d: jobs.endpoint(visible_cells(event_cells(spark, d)), _SPLITS, _per_region, "region int, cells long, n_rows long"), kernel() + "SELECT CAST(CASE WHEN r>='00000100' THEN 2 WHEN r>='00000050' THEN 1 ELSE 0 END AS INTEGER) region, count(*) cells, count(DISTINCT r) n_rows FROM vN GROUP BY 1")
 _add("endpoint_sum", lambda spark, d: jobs.endpoint_sum(event_cells(spark, d), "e", b"click", _SPLITS, start=b"00000060", kind="long").agg(F.sum("total").alias("total")), kernel(pre="q='click' AND r>='00000050'") + "SELECT CAST(sum(v) AS BIGINT) total FROM vN")
 
 # -- functions -------------------------------------------------------------------------

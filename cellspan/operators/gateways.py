@@ -62,6 +62,8 @@ def json_filter(source: str | dict[str, Any]) -> fl.Filter:
     d = json.loads(source) if isinstance(source, str) else source
     kind = d["type"]
     compare = lambda: (d["op"], json_comparator(d["comparator"]))
+    if kind == "ColumnCountGetFilter":
+        return fl.ColumnCountGetFilter(int(d["limit"]))
     if kind == "ColumnPaginationFilter":
         return fl.ColumnPaginationFilter(int(d["limit"]), int(d["offset"]))
     if kind == "FilterList":

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.codecs import decode_number
 from ..plans.filters import FirstKeyOnlyFilter
 from ..plans.model import CELL, CELL_SCHEMA, PUT, Scan
-from ..plans.scan import visible_cells
+from ..plans.scan import of_rows, visible_cells
 
 
 def count_rows(cells: DataFrame) -> DataFrame:
@@ -35,6 +37,16 @@ def export_cells(cells: DataFrame, versions: int = 1, lo: int = 0, hi: int = (1
     return as_puts(visible_cells(cells, scan.add_family(family) if family else scan))
 
 
+def import_cells(exported: DataFrame, rename: dict[str, str] | None = None, families: list[str] | None = None) -> DataFrame:
+    """Cells of an export as cells to append, with their times and types, some families
+    only and under other names."""
+    out = exported.where(F.col("family").isin(*families)) if families else exported
+    name = F.col("family")
+    for old, new in (rename or {}).items():
+        name = F.when(F.col("family") == old, F.lit(new)).otherwise(name)
+    return out.withColumn("family", name).select([F.col(f.name).cast(f.dataType) for f in CELL_SCHEMA])
+
+
 def copy_cells(cells: DataFrame, lo: int = 0, hi: int = (1 << 63) - 1, families: list[str] | None = None) -> DataFrame:
     """Newest versions in a window of time; ``old:new`` renames a family on the way."""
     scan, names = Scan(time_min=lo, time_max=hi), {}
@@ -66,6 +78,14 @@ def compare_tables(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select("row", status.alias("status"))
 
 
+def verify_copy(left: DataFrame, right: DataFrame, lo: int = 0, hi: int = (1 << 63) - 1, families: list[str] | None = None) -> DataFrame:
+    """:func:`compare_tables` on the newest cells of a time range and of some families."""
+    scan = Scan(time_min=lo, time_max=hi)
+    for f in families or []:
+        scan = scan.add_family(f)
+    return compare_tables(visible_cells(left, scan), visible_cells(right, scan))
+
+
 def good_and_bad(compared: DataFrame) -> DataFrame:
     """Good rows match in all keys (values may differ); rows of the right side only don't count."""
     good = F.col("status").isin("match", "value_differs")
@@ -98,13 +118,23 @@ def group_key(cells: DataFrame, columns: list[tuple[str, bytes]]) -> DataFrame:
 
 def multi_get(cells: DataFrame, requests: DataFrame, scan: Scan = Scan()) -> DataFrame:
     """idx, row and their cells; a request without cells gives one row of nulls."""
-    return requests.join(visible_cells(cells, scan), "row", "left").select("idx", *CELL)
+    return requests.join(visible_cells(of_rows(cells, requests), scan), "row", "left").select("idx", *CELL)
 
 
 def row_or_before(cells: DataFrame, row: bytes, family: str) -> DataFrame:
     """Cells of the greatest row, at most ``row``, with a visible cell in the family."""
-    seen = visible_cells(cells, Scan(columns={family: None})).where(F.col("row") <= F.lit(row))
-    return seen.where(F.col("row") == seen.agg(F.max("row")).scalar())
+    scan, below, count = Scan(columns={family: None}), F.col("row") <= F.lit(row), 16
+    while True:
+        # the nearest stored rows by key alone; only these are read for what is visible
+        near = cells.where(below & (F.col("family") == family) & (F.col("type") == PUT)).select("row").distinct().orderBy(F.desc("row")).limit(count)
+        keys = [bytes(r["row"]) for r in near.collect()]
+        if not keys:
+            return visible_cells(cells.limit(0), scan)
+        seen = visible_cells(cells.where(F.col("row").isin(*map(F.lit, keys))), scan)
+        found = seen.agg(F.max("row")).first()[0]
+        if found is not None:
+            return visible_cells(cells.where(F.col("row") == F.lit(bytes(found))), scan)
+        below, count = F.col("row") < F.lit(keys[-1]), min(4 * count, 4096)
 
 
 def exists(cells: DataFrame, scan: Scan) -> bool:
@@ -132,9 +162,47 @@ def endpoint_sum(cells: DataFrame, family: str, qualifier: bytes, splits: list[b
 def endpoint(cells: DataFrame, splits: list[bytes], make: Callable, schema: str) -> DataFrame:
     """A function of one's own on each region's cells, as record batches in key order.
 
-    Regions are streamed: the function gets an iterator of batches of one partition."""
-    placed = cells.withColumn("region", region_of(splits)).repartitionByRange(max(1, len(splits) + 1), "row")
-    return placed.sortWithinPartitions("row", "family", "qualifier", F.desc("ts")).mapInArrow(make, schema)
+    Regions are streamed: the function is called once a region with cells, and gets an
+    iterator of the region's batches, which have the number in a column ``region``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in groupby(_runs(batches, "region"), key=lambda x: x[0]):
+            yield from make(b for _, b in own)
+
+    placed = cells.withColumn("region", region_of(splits)).repartition(max(1, len(splits) + 1), "region")
+    return placed.sortWithinPartitions("region", "row", "family", "qualifier", F.desc("ts")).mapInArrow(run, schema)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple]:
+    """Record batches cut where the value of a column changes."""
+    for b in batches:
+        keys = b.column(column).to_pylist()
+        start = 0
+        for i in range(1, len(keys) + 1):
+            if i == len(keys) or keys[i] != keys[start]:
+                yield keys[start], b.slice(start, i - start)
+                start = i
+
+
+# -- functions of one's own ------------------------------------------------------------
+def map_rows(cells: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None, schema: str, scan: Scan = Scan()) -> DataFrame:
+    """A mapper over the visible cells; without a function the cells go through as they are."""
+    seen = visible_cells(cells, scan)
+    return seen if make is None else seen.mapInArrow(make, schema)
+
+
+def reduce_rows(mapped: DataFrame, keys: list[str], make: Callable | None, schema: str) -> DataFrame:
+    """A reducer: called once a key with an iterator of its batches, which are streamed, so
+    a large group is never held.  Without a function the rows go through as they are."""
+    if make is None:
+        return mapped
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in groupby(_runs(batches, "_group"), key=lambda x: x[0]):
+            yield from make(b.drop_columns(["_group"]) for _, b in own)
+
+    named = mapped.withColumn("_group", F.struct(*keys).cast("string"))
+    return named.repartition(*keys).sortWithinPartitions("_group").mapInArrow(run, schema)
 
 
 def range_bounds(cells: DataFrame, regions: int) -> DataFrame:
@@ -143,12 +211,13 @@ def range_bounds(cells: DataFrame, regions: int) -> DataFrame:
 
 
 def sample_keys(cells: DataFrame, how: str = "random", n: int = 100, fraction: float = 0.1, seed: int = 0) -> DataFrame:
-    """Keys for borders: the first n rows, a random share, or every k-th in order."""
+    """Keys for borders: the first n rows, n of a random share, or a share of about one in
+    k by a hash of the row, which stands for every k-th without an order over all rows."""
     rows = cells.select("row").distinct()
     if how == "split":
         return rows.orderBy("row").limit(n)
     if how == "random":
-        return rows.sample(fraction, seed).limit(n)
+        return rows.where(F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(fraction * (1 << 30)))).orderBy(F.xxhash64("row", F.lit(seed + 1))).limit(n)
     every = max(1, round(1 / fraction))
     return rows.withColumn("_n", F.pmod(F.xxhash64("row"), F.lit(every))).where("_n = 0").drop("_n").orderBy("row").limit(n)
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codecs import decode_number, encode_number
 from ..plans.model import CELL_SCHEMA, DELETE, DELETE_COLUMN, DELETE_FAMILY, LATEST, PUT, Scan
-from ..plans.scan import visible_cells
+from ..plans.scan import of_rows, visible_cells
 
 MAX_ROW = 32767
 MAX_VALUE = 10 << 20
@@ -68,7 +68,7 @@ def delete_versions(rows: DataFrame, state: DataFrame, now: int) -> DataFrame:
     rows = rows if "ts" in rows.columns else rows.withColumn("ts", F.lit(None).cast("long"))
     key = ["row", "family", "qualifier"]
     open_ones = _numbered(rows.where(F.col("ts").isNull() | (F.col("ts") == LATEST)).drop("ts")).withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy("seq")))
-    have = visible_cells(state, Scan(max_versions=None)).select(*key, "ts").withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("ts"))))
+    have = visible_cells(of_rows(state, open_ones), Scan(max_versions=None)).select(*key, "ts").withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("ts"))))
     resolved = open_ones.join(have, [*key, "n"], "left").withColumn("ts", F.coalesce("ts", F.lit(now))).drop("n")
     timed = _numbered(rows.where(F.col("ts").isNotNull() & (F.col("ts") != LATEST)))
     return _cells(resolved.unionByName(timed.select(resolved.columns)).withColumns({"type": F.lit(DELETE), "value": F.lit(None)}))
@@ -83,7 +83,7 @@ def increments(rows: DataFrame, state: DataFrame, now: int) -> DataFrame:
     key = ["row", "family", "qualifier"]
     wide = lambda c: F.col(c).cast("decimal(38,0)")
     added = rows.groupBy(*key).agg(F.sum(wide("amount")).alias("amount"))
-    old = visible_cells(state).select(*key, F.col("ts").alias("old_ts"), F.col("value").alias("old"))
+    old = visible_cells(of_rows(state, rows)).select(*key, F.col("ts").alias("old_ts"), F.col("value").alias("old"))
     made = added.join(old, key, "left")
     bad = F.col("old").isNotNull() & (F.octet_length("old") != 8)
     base = F.when(bad, F.raise_error(F.lit("a counter has 8 bytes")).cast("long")).otherwise(F.coalesce(decode_number("old"), F.lit(0)))
@@ -99,7 +99,7 @@ def check_and_mutate(checks: DataFrame, mutations: DataFrame, state: DataFrame)
     absent).  ``mutations``: cells with a ``check``; they must be of the row checked.
     """
     key = ["row", "family", "qualifier"]
-    now = visible_cells(state).select(*key, F.col("value").alias("have"))
+    now = visible_cells(of_rows(state, checks)).select(*key, F.col("value").alias("have"))
     empty = F.coalesce(F.octet_length("expected"), F.lit(0)) == 0
     ok = F.when(empty, F.coalesce(F.octet_length("have"), F.lit(0)) == 0).otherwise(F.coalesce(F.col("have") == F.col("expected"), F.lit(False)))
     passed = checks.join(now, key, "left").select("check", F.col("row").alias("_row"), ok.alias("passed"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..plans.model import CELL_SCHEMA, Scan
-from ..plans.scan import in_order, results, visible_cells
+from ..plans.scan import in_order, of_rows, results, visible_cells
 from ..sources.catalog import Catalog
 from . import jobs, mutate
 
@@ -84,7 +84,7 @@ class CellTable:
     def multi_get(self, rows: list[bytes], scan: Scan = Scan()) -> DataFrame:
         asked = self.spark.createDataFrame(list(enumerate(rows)), "idx long, row binary")
         d = self.descriptor
-        seen = visible_cells(self.cells(), scan, self.clock(), d.ttl, d.caps)
+        seen = visible_cells(of_rows(self.cells(), asked), scan, self.clock(), d.ttl, d.caps)
         return asked.join(seen, "row", "left").select("idx", "row", "family", "qualifier", "ts", "value").orderBy("idx", "family", "qualifier", F.desc("ts"))
 
     def exists(self, scan: Scan) -> bool:

@@ -468,7 +468,7 @@ class FilterList(Filter):
             for f in self.filters:
                 out = f.apply(out) if isinstance(f, KeyOnlyFilter) else out
             return out
-        for f in self.filters:
+        for f in in_effect(self.filters):
             cells = f.apply(cells)
         return cells
 
@@ -484,6 +484,25 @@ class ColumnFilter(Filter):
         return self.make()
 
 
+def in_effect(filters: tuple[Filter, ...]) -> list[Filter]:
+    """Members of an all-of list in the order they take effect.
+
+    Row keys are judged first.  A row that they reject, or that single-cell predicates
+    leave without cells, is never counted by a page, wherever that stands; members that
+    judge whole rows keep their place towards pages.
+    """
+    keys = [f for f in filters if isinstance(f, RowFilter | PrefixFilter | InclusiveStopFilter)]
+    out: list[Filter] = []
+    for f in filters:
+        if f in keys:
+            continue
+        at = len(out)
+        while f.predicate() is not None and at and isinstance(out[at - 1], PageFilter):
+            at -= 1
+        out.insert(at, f)
+    return keys + out
+
+
 _own: dict[str, Callable[..., Filter]] = {}
 
 
@@ -507,7 +526,7 @@ def split_stages(f: Filter | None) -> tuple[list[Column], list[Filter]]:
         return [p], []
     if isinstance(f, FilterList) and f.mode == MUST_PASS_ALL:
         early, late = [], []
-        for g in f.filters:
+        for g in in_effect(f.filters):
             q = g.predicate()
             if q is not None and not late:
                 early.append(q)

@@ -66,6 +66,27 @@ def visible_cells(cells: DataFrame, scan: Scan = Scan(), now_ms: int | None = No
     return seen
 
 
+#: Rows that are named in the scan itself; more are met by a join.
+NAMED_ROWS = 1000
+#: Rows that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def of_rows(cells: DataFrame, rows: DataFrame) -> DataFrame:
+    """Stored cells of the rows in a column ``row``.
+
+    All windows of a read are within a row, so this goes before them.  A few rows become a
+    predicate that the files are read with; more are broadcast up to a counted bound, and
+    joined on the row beyond it.
+    """
+    asked = rows.select("row").where("row is not null").distinct()
+    few = [bytes(r["row"]) for r in asked.limit(NAMED_ROWS + 1).collect()]
+    if len(few) <= NAMED_ROWS:
+        return cells.where(F.col("row").isin(*map(F.lit, few))) if few else cells.limit(0)
+    small = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return cells.join(F.broadcast(asked) if small else asked, "row", "left_semi").select(cells.columns)
+
+
 def in_order(cells: DataFrame) -> DataFrame:
     return cells.orderBy("row", "family", "qualifier", F.desc("ts"))
 

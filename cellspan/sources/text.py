@@ -8,24 +8,26 @@ from pyspark.sql import functions as F
 from ..functions.codecs import parse_column
 from ..plans.model import CELL_SCHEMA, PUT
 
-#: Fixed value: the name that marks the row key in a column specification.
-ROW_KEY = "HBASE_ROW_KEY"
+#: The name that marks the row key in a column specification, unless another is given.
+ROW_KEY = "ROW_KEY"
 
 
-def parse_tsv(lines: DataFrame, columns: str, ts: int, separator: str = "\t", line: str = "value") -> tuple[DataFrame, DataFrame]:
+def parse_tsv(lines: DataFrame, columns: str, ts: int, separator: str = "\t", line: str = "value", marker: str = ROW_KEY, skip_bad_lines: bool = True) -> tuple[DataFrame, DataFrame]:
     """(cells, bad lines).  ``columns``: comma-separated, one of them the row key.
 
     A line is bad without a separator, with more fields than columns, or without the row
     key's field; it may have fewer fields.  All cells get the time ``ts``.
+    Bad lines are skipped; without ``skip_bad_lines`` one fails the job that reads the cells.
+    ``marker`` is the name that stands for the row key.
     """
     specs = columns.split(",")
-    if specs.count(ROW_KEY) != 1:
-        raise ValueError(f"{ROW_KEY} must stand for one column")
+    if specs.count(marker) != 1:
+        raise ValueError(f"{marker} must stand for one column")
     if len(separator.encode()) != 1:
         raise ValueError("the separator is one byte")
     if len(specs) < 2:
         raise ValueError("a row key and one column at least")
-    at = specs.index(ROW_KEY)
+    at = specs.index(marker)
     fields = F.split(F.col(line), "\\Q" + separator + "\\E", -1)
     parsed = lines.withColumn("_f", fields).withColumn("_bad", F.col(line).isNull() | (F.size("_f") < 2) | (F.size("_f") > len(specs)) | (F.size("_f") <= at) | (F.octet_length(F.get("_f", F.lit(at))) == 0))
     bad = parsed.where("_bad").select(line)
@@ -34,6 +36,8 @@ def parse_tsv(lines: DataFrame, columns: str, ts: int, separator: str = "\t", li
         if i != at:
             family, qualifier = parse_column(s)
             cells.append(F.struct(F.lit(family).alias("family"), F.lit(qualifier or b"").alias("qualifier"), F.get("_f", F.lit(i)).cast("binary").alias("value"), F.lit(i).cast("long").alias("seq")))
+    if not skip_bad_lines:
+        parsed = parsed.withColumn("_bad", F.when(F.col("_bad"), F.raise_error(F.concat(F.lit("bad line: "), F.coalesce(line, F.lit("null")))).cast("boolean")).otherwise(F.lit(False)))
     good = parsed.where("not _bad").select(F.get("_f", F.lit(at)).cast("binary").alias("row"), F.explode(F.array(*cells)).alias("c")).where("c.value is not null")
     out = good.select("row", "c.family", "c.qualifier", F.lit(ts).alias("ts"), F.lit(PUT).alias("type"), "c.value", "c.seq")
     return out.select([F.col(f.name).cast(f.dataType) for f in CELL_SCHEMA]), bad

@@ -181,9 +181,12 @@ def test_results(spark):
 
 def test_tsv(spark):
     lines = spark.createDataFrame([("a\tb\tc\td",), ("only",), ("",), (None,), ("a\tb\tc\td\te",), ("a\tb",)], "value string")
-    good, bad = parse_tsv(lines, "col_a,col_b:qual,HBASE_ROW_KEY,col_d", 3)
+    good, bad = parse_tsv(lines, "col_a,col_b:qual,KEY,col_d", 3, marker="KEY")
     assert sorted((r["family"], bytes(r["qualifier"]), bytes(r["value"])) for r in good.collect()) == [("col_a", b"", b"a"), ("col_b", b"qual", b"b"), ("col_d", b"", b"d")]
     assert bad.count() == 5
+    strict, _ = parse_tsv(lines, "col_a,col_b:qual,ROW_KEY,col_d", 3, skip_bad_lines=False)
+    with pytest.raises(Exception, match="bad line"):
+        strict.collect()
     with pytest.raises(ValueError):
         parse_tsv(lines, "a,b", 3)
 
@@ -198,6 +201,60 @@ def test_endpoint_and_samples(spark):
     assert jobs.row_or_before(data, b"testRow05x", "f").first()["row"] == b"testRow05"
 
 
+def test_functions_on_regions_and_groups(spark):
+    import pyarrow as pa
+
+    rows = [(f"{i:02d}".encode(), "f", b"q", 1, P, b"%d" % (i % 3), i) for i in range(40)]
+    data = spark.createDataFrame(rows, CELL_SCHEMA)
+
+    def ends(batches):
+        keys = [(b.column("region")[0].as_py(), k) for b in batches for k in b.column("row").to_pylist()]
+        assert len({r for r, _ in keys}) == 1
+        yield pa.RecordBatch.from_pylist([{"region": keys[0][0], "first": keys[0][1], "last": keys[-1][1], "n": len(keys)}])
+
+    got = jobs.endpoint(data, [b"35", b"38"], ends, "region long, first binary, last binary, n long").orderBy("region").collect()
+    assert [(r["region"], bytes(r["first"]), bytes(r["last"]), r["n"]) for r in got] == [(0, b"00", b"34", 35), (1, b"35", b"37", 3), (2, b"38", b"39", 2)]
+
+    def count(batches):
+        values = [v for b in batches for v in b.column("value").to_pylist()]
+        yield pa.RecordBatch.from_pylist([{"value": values[0], "n": len(values)}])
+
+    assert jobs.map_rows(data, None, "").count() == 40
+    assert jobs.reduce_rows(data, ["value"], None, "").count() == 40
+    groups = {bytes(r["value"]): r["n"] for r in jobs.reduce_rows(jobs.map_rows(data, lambda x: x, "row binary, family string, qualifier binary, ts long, value binary"), ["value"], count, "value binary, n long").collect()}
+    assert groups == {b"0": 14, b"1": 13, b"2": 13}
+
+
+def test_pages_count_rows_that_are_left(spark):
+    from cellspan.plans import filters as fl
+
+    data = spark.createDataFrame([(f"{i:02d}".encode(), "f", b"q", 1, P, b"%d" % (i % 2), i) for i in range(40)], CELL_SCHEMA)
+    rows = lambda *f: [bytes(r["row"]).decode() for r in visible_cells(data, Scan().set_filter(fl.FilterList(fl.MUST_PASS_ALL, f))).orderBy("row").collect()]
+    page, prefix = fl.PageFilter(3), fl.PrefixFilter(b"3")
+    assert rows(page, prefix) == rows(prefix, page) == ["30", "31", "32"]
+    assert rows(page, fl.RowFilter(fl.EQUAL, fl.RegexComparator("^3"))) == ["30", "31", "32"]
+    odd = fl.ValueFilter(fl.EQUAL, b"1")
+    assert rows(page, odd) == rows(odd, page) == ["01", "03", "05"]
+    nested = fl.FilterList(fl.MUST_PASS_ALL, (page, odd))
+    assert rows(nested, prefix) == rows(prefix, nested) == ["31", "33", "35"]
+
+
+def test_few_rows_are_read_by_key(spark):
+    data = spark.createDataFrame([(f"{i:02d}".encode(), "f", b"q", 1, P, i.to_bytes(8, "big"), i) for i in range(40)], CELL_SCHEMA)
+    asked = spark.createDataFrame([(0, b"03"), (1, b"zz"), (2, b"03")], "idx long, row binary")
+    got = jobs.multi_get(data, asked)
+    assert sorted((r["idx"], r["value"]) for r in got.collect() if r["value"]) == [(0, (3).to_bytes(8, "big")), (2, (3).to_bytes(8, "big"))]
+    gone = spark.createDataFrame([(f"{i:02d}".encode(), "f", b"", 9, 14, None, 100 + i) for i in range(5, 40)], CELL_SCHEMA)
+    assert bytes(jobs.row_or_before(data.unionByName(gone), b"39", "f").first()["row"]) == b"04"
+    assert jobs.row_or_before(data, b"0", "f").count() == 0
+
+
+def test_import_renames(spark):
+    data = spark.createDataFrame([(b"1", "f", b"q", 1, P, b"v", 0), (b"1", "g", b"q", 1, P, b"w", 0)], CELL_SCHEMA)
+    out = jobs.import_cells(jobs.export_cells(data), {"f": "h"}, ["f"]).collect()
+    assert [(r["family"], bytes(r["value"]), r["type"]) for r in out] == [("h", b"v", P)]
+
+
 def test_increment_wraps(spark):
     state = spark.createDataFrame([(b"r", "f", b"q", 5, P, ((1 << 63) - 1).to_bytes(8, "big"), 0)], CELL_SCHEMA)
     one = spark.createDataFrame([(b"r", "f", b"q", 1)], "row binary, family string, qualifier binary, amount long")
