@@ -42,9 +42,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.  Set here only where the session has none."""
+    """The folder all executors share.  Set here only where the session has none, and only
+    on one machine: a cluster has to name a folder that all of its machines see."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         have = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", have)
     return have.rstrip("/")
@@ -65,6 +68,7 @@ def durable(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEAN_SHUFFLES, before)
+        give_back()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -101,6 +105,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         if start < len(sizes):
             yield batch.slice(start)
         del batch
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that this process has freed but still holds to the machine."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

@@ -361,8 +361,8 @@ def _common_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
     sample = rows.where(F.pmod(F.xxhash64("text", F.col("key").cast("string")), F.lit(SAMPLE_ONE_IN)) == 0).select("text")
     counts = sample.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c >= 2")
-    top = counts.orderBy(F.desc("c"), "h").limit(COMMON).collect()
-    h = np.array([r["h"] for r in top], np.int64).view(np.uint64)
+    top = counts.orderBy(F.desc("c"), "h").limit(COMMON).select("h").toArrow()
+    h = top.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
     # the rarest comes first
     return h[order], (len(h) - np.arange(len(h)))[order]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, slices
+from .common import durable, give_back, slices
 
 #: Labelled rows that the ensemble is fitted on at most, the first by hash of the key.
 MAX_TRAIN_ROWS = 20_000
@@ -231,14 +231,15 @@ def learn_quality(docs: DataFrame, labels: DataFrame, train: Column, key: str =
     Only texts of sampled keys are measured.  Of the rows of a repeated key the one with
     the smallest statistics counts, so a key is one row however many copies it has.
     """
-    sample = labelled_sample(docs, labels, train, key, label, max_rows)
-    few = docs.sparkSession.createDataFrame(sample.collect(), sample.schema)
+    few = durable(labelled_sample(docs, labels, train, key, label, max_rows), "labelled-sample")
     texts = docs.select(F.col(key).alias("lab_key"), F.col(text).alias("lab_text")).join(F.broadcast(few.select("lab_key")), "lab_key", "left_semi")
     values = F.struct(*(F.col(f"s_{s}") for s in STATS))
     measured = measure(texts, "lab_key", "lab_text").groupBy("lab_key").agg(F.min(values).alias("v"))
-    picked = measured.join(F.broadcast(few), "lab_key").orderBy("lab_key").select("lab_y", "v.*").collect()
-    data = np.array([tuple(r) for r in picked], np.float64).reshape(-1, len(STATS) + 1)
-    return fit_ensemble(data[:, 1:], data[:, 0])
+    picked = measured.join(F.broadcast(few), "lab_key").orderBy("lab_key").select("lab_y", "v.*").toArrow()
+    data = np.stack([picked.column(i).to_numpy().astype(np.float64) for i in range(len(STATS) + 1)], axis=1)
+    model = fit_ensemble(data[:, 1:], data[:, 0])
+    give_back()
+    return model
 
 
 def crc_mod_py(key: str, n: int) -> int:
