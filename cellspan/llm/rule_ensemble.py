@@ -82,12 +82,27 @@ class Rule:
             ok &= (x[:, j] > cut) if above else (x[:, j] <= cut)
         return ok
 
-    def column(self) -> Column:
-        out = F.lit(True)
-        for j, above, cut in self.terms:
-            c = F.col(f"s_{STATS[j]}")
-            out = out & ((c > cut) if above else (c <= cut))
-        return out
+
+def _number(x: float) -> str:
+    return f"({float(x)!r}D)"
+
+
+def _sum(parts: list[str]) -> str:
+    """A balanced sum: its depth grows with the logarithm of the number of terms."""
+    while len(parts) > 1:
+        parts = [f"({' + '.join(parts[i : i + 2])})" for i in range(0, len(parts), 2)]
+    return parts[0]
+
+
+def _compiled(rules: list[tuple[tuple, float]]) -> str:
+    """SQL of the weights of all conjunctions that hold; what conjunctions begin with in
+    common is tested once.  A null statistic fulfils nothing."""
+    own, below = sum(w for terms, w in rules if not terms), {}
+    for terms, w in rules:
+        if terms:
+            below.setdefault(terms[0], []).append((terms[1:], w))
+    tests = [f"IF(s_{STATS[j]} {'>' if above else '<='} {_number(cut)}, {_compiled(rest)}, 0D)" for (j, above, cut), rest in below.items()]
+    return _sum([_number(float(own)), *tests] if own or not tests else tests)
 
 
 def tree_rules(x: np.ndarray, target: np.ndarray, rng: np.random.Generator, depth: int = 3, bins: int = 24, least: int = 10) -> list[Rule]:
@@ -162,10 +177,7 @@ class RuleEnsemble:
         return out
 
     def score(self) -> Column:
-        total = F.lit(self.intercept)
-        for rule, w in self.rules:
-            total = total + F.when(rule.column(), F.lit(w)).otherwise(F.lit(0.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+        return F.expr(f"1D / (1D + exp(-{_compiled([((), self.intercept), *((rule.terms, w) for rule, w in self.rules)])}))")
 
 
 def fit_ensemble(x: np.ndarray, y: np.ndarray, trees: int = 40, penalty: float = 2e-3, seed: int = 7) -> RuleEnsemble:
