@@ -96,5 +96,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_lm_scores, op4_sentencepiece, op5_license_scan, op6_quality_rules, op7_chat_repair, op8_jaccard_join, op9_language_id, op10_token_counts)}
 
 
+_LOWER = "translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
+_OP1 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () rid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
+i AS (SELECT row_number() OVER () iid, coalesce(CAST(item_id AS VARCHAR),'') k, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL) t),
+iw AS (SELECT DISTINCT iid, k, least(len(w),8) n, array_to_string(w[p:p+least(len(w),8)-1],' ') g FROM (SELECT iid, k, w, unnest(range(1, greatest(len(w)-7,1)+1)) p FROM i WHERE len(w)>0) t),
+sizes AS (SELECT iid, count(*) windows FROM iw GROUP BY iid),
+dw AS (SELECT rid, p, n, array_to_string(w[p:p+n-1],' ') g FROM (SELECT rid, w, n, unnest(range(1, len(w)-n+2)) p FROM d, (SELECT DISTINCT n FROM iw) lens WHERE len(w)>=n) t),
+h AS (SELECT rid, p, n, iid, k, g FROM dw JOIN iw USING (n, g)),
+hits AS (SELECT rid, count(DISTINCT q) n_hit FROM (SELECT rid, unnest(range(p, p+n)) q FROM (SELECT DISTINCT rid, p, n FROM h) t) t GROUP BY rid),
+cov AS (SELECT rid, max(CAST(c AS DOUBLE)/windows) cover FROM (SELECT rid, iid, count(DISTINCT g) c FROM h GROUP BY rid, iid) t JOIN sizes USING (iid) GROUP BY rid),
+ks AS (SELECT rid, count(*) n_items, string_agg(k, ',' ORDER BY k) ks FROM (SELECT DISTINCT rid, k FROM h) t GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(coalesce(n_hit,0) AS BIGINT) n_hit, CAST(coalesce(n_items,0) AS BIGINT) n_items, sha256(coalesce(ks,'')) items_sha256, coalesce(n_items,0)>=2 contaminated, CAST(coalesce(cover,0) AS DOUBLE) cover
+FROM d LEFT JOIN hits USING (rid) LEFT JOIN cov USING (rid) LEFT JOIN ks USING (rid)"""
+_OP8 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () rid, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT rid, list_sort(list(DISTINCT array_to_string(w[p:p+3],' '))) s FROM (SELECT rid, w, unnest(range(1, greatest(len(w)-3,1)+1)) p FROM d WHERE len(w)>0) t GROUP BY rid),
+cls AS (SELECT s, min(doc_id) least_id, row_number() OVER () cid FROM s JOIN d USING (rid) GROUP BY s),
+e AS (SELECT cid, len(s) n, unnest(s) h FROM cls),
+links AS (SELECT a.cid a, b.cid b FROM e a JOIN e b ON a.h=b.h AND a.cid<b.cid WHERE 100*least(a.n,b.n)>=85*greatest(a.n,b.n) GROUP BY a.cid, b.cid, a.n, b.n HAVING 100*count(*)>=85*(a.n+b.n-count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT cid a, cid b FROM cls UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b=both_ways.a),
+comp AS (SELECT reach.a cid, min(least_id) component_id FROM reach JOIN cls ON cls.cid=reach.b GROUP BY reach.a)
+SELECT doc_id, CAST(coalesce(len(s.s),0) AS BIGINT) n_shingles, coalesce(component_id, doc_id) component_id FROM d LEFT JOIN s USING (rid) LEFT JOIN cls ON cls.s=s.s LEFT JOIN comp USING (cid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": _OP1, "op8_jaccard_join": _OP8}
