@@ -237,21 +237,35 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, key: str
     return few.orderBy(F.pmod(order, F.lit(1 << 30)), "lab_key").limit(max_rows)
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ensemble of all rows (label, statistics) as rows (feature, above, cut, weight):
+    one a rule, and the intercept as the rule without tests."""
+    parts = [np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(STATS) + 1)], axis=1) for b in batches if b.num_rows]
+    data = np.concatenate([np.zeros((0, len(STATS) + 1)), *parts])
+    model = fit_ensemble(data[:, 1:], data[:, 0])
+    rows = [(Rule(()), model.intercept), *model.rules]
+    split = [[[t[i] for t in rule.terms] for rule, _ in rows] for i in range(3)]
+    kinds = (pa.int32(), pa.bool_(), pa.float64())
+    columns = [*(pa.array(v, pa.list_(k)) for v, k in zip(split, kinds, strict=True)), pa.array([w for _, w in rows], pa.float64())]
+    yield pa.RecordBatch.from_arrays(columns, ["feature", "above", "cut", "weight"])
+    give_back()
+
+
 def learn_quality(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> RuleEnsemble:
     """Fit on the whole texts of a bounded sample of labelled keys.
 
     Only texts of sampled keys are measured.  Of the rows of a repeated key the one with
-    the smallest statistics counts, so a key is one row however many copies it has.
+    the smallest statistics counts, so a key is one row however many copies it has.  One
+    task fits the at most ``max_rows`` rows of numbers; only the rules reach the driver.
     """
     few = durable(labelled_sample(docs, labels, train, key, label, max_rows), "labelled-sample")
     texts = docs.select(F.col(key).alias("lab_key"), F.col(text).alias("lab_text")).join(F.broadcast(few.select("lab_key")), "lab_key", "left_semi")
     values = F.struct(*(F.col(f"s_{s}") for s in STATS))
     measured = measure(texts, "lab_key", "lab_text").groupBy("lab_key").agg(F.min(values).alias("v"))
-    picked = measured.join(F.broadcast(few), "lab_key").orderBy("lab_key").select("lab_y", "v.*").toArrow()
-    data = np.stack([picked.column(i).to_numpy().astype(np.float64) for i in range(len(STATS) + 1)], axis=1)
-    model = fit_ensemble(data[:, 1:], data[:, 0])
-    give_back()
-    return model
+    picked = measured.join(F.broadcast(few), "lab_key").repartition(1).sortWithinPartitions("lab_key").select("lab_y", "v.*")
+    found = picked.mapInArrow(_fit, "feature array<int>, above array<boolean>, cut array<double>, weight double").collect()
+    rules = [(Rule(tuple(zip(r["feature"], r["above"], r["cut"], strict=True))), r["weight"]) for r in found]
+    return RuleEnsemble(sum(w for rule, w in rules if not rule.terms), tuple((rule, w) for rule, w in rules if rule.terms))
 
 
 def crc_mod_py(key: str, n: int) -> int:
