@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -116,6 +117,16 @@ def give_back() -> None:
         trim(0)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the driver drop what earlier steps left: plans, generated classes, shuffle files.
+
+    They go at a full collection only, and a heap that has grown stays grown until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    give_back()
+
+
 def int_lists(parts: list) -> pa.Array:
     """A list<int32> column from numpy int32 arrays."""
     import numpy as np

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, give_back, slices
+from .common import durable, give_back, settle, slices
 
 #: Labelled rows that the ensemble is fitted on at most, the first by hash of the key.
 MAX_TRAIN_ROWS = 20_000
@@ -281,4 +281,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, train: Column, key: str =
     documents is written in between.
     """
     model = learn_quality(docs, labels, train, key, text, label)
+    settle(docs.sparkSession)  # the rules are a large expression
     return measure(docs, key, text, keep).withColumn("score", model.score())
