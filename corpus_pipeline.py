@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellspan.llm.common import durable, read_table, ship_package
+from cellspan.llm.common import durable, read_table, settle, ship_package
 from cellspan.llm.jaccard_join import jaccard_components
 from cellspan.llm.queries import tokenizer_path
 from cellspan.llm.risk_rules import apply_rules
@@ -27,12 +27,14 @@ def _whole(docs: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, fitted on the labels, scores under 0.5 go."""
+    settle(spark)
     scored = score_quality(_whole(docs), read_table(spark, sf_dir, "labels"), F.lit(True), keep=("doc",))
     return scored.where("score >= 0.5").select("doc.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or a certified cutoff rejects go."""
+    settle(spark)
     return apply_rules(_whole(docs), read_table(spark, sf_dir, "labels"), keep=("doc",)).where("kept").select("doc.*")
 
 
@@ -40,6 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of documents connected by a similarity of 0.8 on five-word shingles the one with
     the smallest key stays (of repeated rows one of them); those without words stay."""
     ship_package(spark)
+    settle(spark)
     # no key and no row number is needed: a row is known by its key and a hash of all it holds
     name = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.xxhash64(*docs.columns).alias("h"))
     rows = docs.select(F.struct(*docs.columns).alias("doc"), name.alias("key"))
@@ -54,6 +57,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with 13 words in a row of one item, a whole item, or windows of two items go; items under 8 words don't count."""
+    settle(spark)
     found = find_contamination(_whole(docs), read_table(spark, sf_dir, "benchmark"), key="doc")
     return contamination_verdict(found).where("not leaked").select("doc.*")
 
@@ -61,6 +65,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text."""
     ship_package(spark)
+    settle(spark)
     out = encode_documents(docs, tokenizer_path())
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
