@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_durable, durable, slices
+from .common import drop_durable, durable, give_back, settle, slices
 from .components import connected_components, join_hubs
 
 #: Bits of the table that says which classes are in a candidate group (2 MB).
@@ -244,9 +244,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     drop_durable(wide)
     groups = durable(connected_components(_stars(shared_lists), "groups").withColumnsRenamed({"node": "cid", "comp": "grp"}), "candidate-groups")
     sets = _candidate_sets(rows, groups, k)
+    settle(spark)  # each of the many short rounds leaves plans and generated classes
     links = _links(sets, shared_lists, num, den, block)
     drop_durable(sets)
     drop_durable(shared_lists)
+    settle(spark)
     found = connected_components(links, "links").select(F.col("node").alias("sig"), "comp")
     classes = marked.where("n_shingles > 0").groupBy("sig").agg(F.min("key").alias("least"))
     named = durable(classes.join(found, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "class-components")
@@ -295,6 +297,7 @@ def _shared_entries(entries: DataFrame) -> DataFrame:
             last = h[end], c[end], m[end], leader[end], bool(shared[end])
         if last and last[4]:
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in last[:4]], ["h", "cid", "least", "leader"])
+        give_back()
 
     return entries.repartition("h").sortWithinPartitions("h", "cid").mapInArrow(run, "h long, cid long, least int, leader long")
 
@@ -478,6 +481,8 @@ def _links(sets: DataFrame, entries: DataFrame, num: int, den: int, block: int)
                 ask.append(q)
         if task is not None:
             yield done()
+        sigs, got, ask = [], [], []
+        give_back()
 
     def run(tasks: DataFrame) -> DataFrame:
         """Links found by tasks (task, cid, sig, query).  Two classes of one number have
