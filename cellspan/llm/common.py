@@ -89,12 +89,22 @@ def crc_mod(key: Column | str, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+#: What operators keep in a worker from task to task, by operator.
+WORKER_TABLES: dict[str, dict] = {}
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, keep: str | None = None) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each piece holds about ``limit`` bytes of text.
 
     A row is never cut: one text above the limit travels alone.  After the last batch the
-    worker, which other tasks will use again, gives the memory it has freed back.
+    worker, which other tasks will use again, gives the memory it has freed back.  What
+    operators other than ``keep`` have left in the worker goes as the first batch comes.
     """
+    for name, tables in WORKER_TABLES.items():
+        if name != keep and tables:
+            tables.clear()
+            gc.collect()
+            give_back()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         start = held = 0

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import int_lists, slices
+from .common import WORKER_TABLES, int_lists, slices
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -486,7 +486,7 @@ class PieceModel:
         return self._lead(self.pieces_text(ids), ids)
 
 
-_models: dict[str, PieceModel] = {}
+_models: dict[str, PieceModel] = WORKER_TABLES.setdefault("sentencepiece", {})
 
 
 def load_model(path: str) -> PieceModel:
@@ -511,7 +511,7 @@ def encode_documents(docs: DataFrame, model_path: str, key: str = "doc_id", text
         model = load_model(model_path)
         gc.disable()  # the tables hold no cycles, and walking them costs more than the work
         try:
-            for piece in slices(batches, limit=1 << 20):
+            for piece in slices(batches, limit=1 << 20, keep="sentencepiece"):
                 done = model.encode_all(piece.column("text").to_pylist())
                 columns = [int_lists([d[i] for d in done]) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([piece.column("key"), *columns, pa.array([d[3] for d in done], pa.string())], ["key", "ids", "begins", "ends", "decoded"])

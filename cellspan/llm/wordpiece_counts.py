@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import WORKER_TABLES, slices
 from .sentencepiece_codec import NORMAL, SPACE, _fields
 
 CACHE_ENTRIES = 500_000
@@ -111,7 +111,7 @@ class LongestMatch:
         return len(words), total
 
 
-_automata: dict[tuple[int, int], LongestMatch] = {}
+_automata: dict[tuple[int, int], LongestMatch] = WORKER_TABLES.setdefault("wordpiece", {})
 
 
 def count_tokens(docs: DataFrame, vocabulary: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -129,7 +129,7 @@ def count_tokens(docs: DataFrame, vocabulary: list[str], key: str = "doc_id", te
         if tag not in _automata:
             _automata[tag] = LongestMatch(shared.value)
         automaton = _automata[tag]
-        for piece in slices(batches):
+        for piece in slices(batches, keep="wordpiece"):
             done = [automaton.text_count(t) for t in piece.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([piece.column("key"), pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64())], ["key", "n_words", "n_tokens"])
 
