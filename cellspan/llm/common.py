@@ -130,10 +130,26 @@ def give_back() -> None:
 def settle(spark: SparkSession) -> None:
     """Let the driver drop what earlier steps left: plans, generated classes, shuffle files.
 
-    They go at a full collection only, and a heap that has grown stays grown until then.
+    They go at a full collection only.  What the compiler and the many short jobs have freed
+    outside the heap goes back to the machine where the JVM has a command for it.
     """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    gateway = spark.sparkContext._gateway
+    jvm = gateway.jvm
+    jvm.System.gc()
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    # the server's own class is not open to calls, its interface is
+    calls = {m.getName(): m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods()}
+
+    def ask(method: str, *values):
+        args = gateway.new_array(jvm.java.lang.Object, len(values))
+        for i, v in enumerate(values):
+            args[i] = v
+        return calls[method].invoke(server, args)
+
+    commands, trim = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    if ask("isRegistered", commands) and any(o.getName() == trim for o in ask("getMBeanInfo", commands).getOperations()):
+        ask("invoke", commands, trim, None, None)
     give_back()
 
 

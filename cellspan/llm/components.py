@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_durable, durable
+from .common import drop_durable, durable, settle
 
 #: A node with more than this share of all edge ends is met by a broadcast.
 HUB_SHARE = 1 / 1000
@@ -31,6 +31,7 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     ones; the number of edges never grows, and rounds grow with the logarithm of the
     diameter.  Every round is a written table, so lineage stays short.
     """
+    settle(edges.sparkSession)
     both = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = durable(both, label)
     mark = lambda d: d.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()

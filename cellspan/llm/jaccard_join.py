@@ -248,7 +248,6 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links = _links(sets, shared_lists, num, den, block)
     drop_durable(sets)
     drop_durable(shared_lists)
-    settle(spark)
     found = connected_components(links, "links").select(F.col("node").alias("sig"), "comp")
     classes = marked.where("n_shingles > 0").groupBy("sig").agg(F.min("key").alias("least"))
     named = durable(classes.join(found, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "class-components")
